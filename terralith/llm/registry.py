@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid
+from . import langid, minhash
 from .common import table
 
 
@@ -13,8 +13,13 @@ def op7_language_id(spark: SparkSession, d: str) -> DataFrame:
     return langid.identify(table(spark, d, "documents"))
 
 
+def op6_near_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    """Every near copy with the document of its group that stays."""
+    return minhash.near_duplicates(table(spark, d, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op7_language_id,)}
+    return {f.__name__: f for f in (op6_near_duplicates, op7_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, minhash
+from . import decontam, langid, minhash, mixing
 from .common import table
 
 
@@ -13,14 +13,24 @@ def op7_language_id(spark: SparkSession, d: str) -> DataFrame:
     return langid.identify(table(spark, d, "documents"))
 
 
+def op5_mixing(spark: SparkSession, d: str) -> DataFrame:
+    """The documents drawn by raked cell probabilities."""
+    return mixing.sampled(table(spark, d, "documents"))
+
+
 def op6_near_duplicates(spark: SparkSession, d: str) -> DataFrame:
     """Every near copy with the document of its group that stays."""
     return minhash.near_duplicates(table(spark, d, "documents"))
 
 
+def op10_decontamination(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with every benchmark item that it holds within the edit budget."""
+    return decontam.contaminated(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op6_near_duplicates, op7_language_id)}
+    return {f.__name__: f for f in (op5_mixing, op6_near_duplicates, op7_language_id, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_mixing": mixing.sampled_sql()}

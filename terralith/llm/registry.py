@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, html_blocks, langid, minhash, mixing, token_fst, topk, url_rules
+from . import attention_lm, chat, decontam, html_blocks, langid, minhash, mixing, token_fst, topk, url_rules
 from .common import table
 
 
@@ -48,6 +48,11 @@ def op8_top_k(spark: SparkSession, d: str) -> DataFrame:
     return topk.top_k(table(spark, d, "embeddings"))
 
 
+def op9_lm_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Mean negative log probability of every document."""
+    return attention_lm.scores(table(spark, d, "documents"))
+
+
 def op10_decontamination(spark: SparkSession, d: str) -> DataFrame:
     """Every document with every benchmark item that it holds within the edit budget."""
     return decontam.contaminated(table(spark, d, "documents"), table(spark, d, "benchmark"))

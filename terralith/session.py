@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import sys
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +19,26 @@ def session(app: str = "terralith", **conf: str) -> SparkSession:
     return b.config(map=base | conf).getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the package's modules to the Python workers, unless they find them by themselves.
+
+    They do where the package is installed, on ``PYTHONPATH`` or in the working directory of
+    a local session; else Spark sends a zip of its sources, once a context.
+    """
+    sc, root = spark.sparkContext, Path(__file__).resolve().parents[1]
+    paths = {str(Path(p or ".").resolve()) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p}
+    if str(root) in paths or (sc.master.startswith("local") and Path.cwd() == root) or "site-packages" in root.parts or getattr(sc, "_terralith_shipped", False):
+        return
+    name = Path(tempfile.mkdtemp(prefix="terralith-")) / "terralith_sources.zip"
+    with zipfile.ZipFile(name, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted((root / "terralith").rglob("*.py")):
+            z.write(f, f.relative_to(root))
+    before = list(sys.path)
+    sc.addPyFile(str(name))  # the driver itself keeps its own sources
+    sys.path[:] = before
+    sc._terralith_shipped = True
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage in the folder that the session names in ``spark.checkpoint.dir``.
 
@@ -45,4 +69,6 @@ def connected(edges: DataFrame, most: int = 60) -> DataFrame:
         if mark == before:
             break
         before = mark
+    else:
+        raise RuntimeError("the components didn't settle")
     return now.select(F.col("u").alias("id"), F.col("v").alias("comp")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("comp")).distinct())

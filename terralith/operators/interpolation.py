@@ -109,13 +109,17 @@ def thin_plate_spline(points: DataFrame, value: str, cols: int = 20, rows: int =
     """(cx, cy, v): the surface through all points that bends least."""
 
     def solve(x, y, v):
-        n = len(x)
+        # in centred units of the largest reach: the surface stays the same, the system is well conditioned
+        x0, y0 = x.mean(), y.mean()
+        unit = max(np.ptp(x), np.ptp(y)) or 1.0
+        x, y, n = (x - x0) / unit, (y - y0) / unit, len(x)
         p = np.column_stack([np.ones(n), x, y])
         a = np.block([[_phi((x[:, None] - x) ** 2 + (y[:, None] - y) ** 2), p], [p.T, np.zeros((3, 3))]])
-        return x, y, np.linalg.lstsq(a, np.concatenate([v, np.zeros(3)]), rcond=None)[0]
+        return x, y, x0, y0, unit, np.linalg.lstsq(a, np.concatenate([v, np.zeros(3)]), rcond=None)[0]
 
     def evaluate(s, gx, gy):
-        x, y, w = s
+        x, y, x0, y0, unit, w = s
+        gx, gy = (gx - x0) / unit, (gy - y0) / unit
         return _phi((gx[:, None] - x) ** 2 + (gy[:, None] - y) ** 2) @ w[:-3] + w[-3] + w[-2] * gx + w[-1] * gy
 
     return _solved(points, value, cols, rows, solve, evaluate)

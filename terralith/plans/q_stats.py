@@ -86,7 +86,7 @@ _GRID = "gr AS (SELECT a.range::INT AS cx, b.range::INT AS cy, (SELECT min(x) FR
 _GD = "sqrt((g.x - q.x) * (g.x - q.x) + (g.y - q.y) * (g.y - q.y))"
 add("int_nearest", lambda s, d: rounded(interpolation.nearest(_plane(s, d), "v", 6, 5)), f", {_GRID} SELECT cx, cy, round(2 + 3 * px - py, 6) AS v FROM (SELECT cx, cy, q.x AS px, q.y AS py, row_number() OVER (PARTITION BY cx, cy ORDER BY {_GD}, q.id) AS i FROM gr g, qp q) WHERE i = 1")
 add("int_idw", lambda s, d: rounded(interpolation.idw(_plane(s, d), "v", 6, 5)), f", {_GRID} SELECT cx, cy, round(sum((2 + 3 * q.x - q.y) / ({_GD} * {_GD})) / sum(1 / ({_GD} * {_GD})), 6) AS v FROM gr g, qp q GROUP BY 1, 2")
-add("int_thin_plate", lambda s, d: rounded(interpolation.thin_plate_spline(_plane(s, d), "v", 6, 5), places=3), f", {_GRID} SELECT cx, cy, round(2 + 3 * x - y, 3) AS v FROM gr")
+add("int_thin_plate", lambda s, d: rounded(interpolation.thin_plate_spline(_plane(s, d), "v", 6, 5), places=4), f", {_GRID} SELECT cx, cy, round(2 + 3 * x - y, 4) AS v FROM gr")
 add("int_linear", lambda s, d: rounded(interpolation.linear(_plane(s, d), "v", 6, 5), places=4))
 add("int_b_spline", lambda s, d: rounded(interpolation.b_spline(_plane(s, d), "v", 6, 5), places=4))
 add("int_kriging", lambda s, d: rounded(interpolation.kriging(_plane(s, d), "v", 6, 5), "v", "variance", places=3))

@@ -17,7 +17,7 @@ edges AS (SELECT cx, cy, cx + [0, 1, 1, 1, 0, -1, -1, -1][v + 1] AS tx, cy + [-1
 _OUT = "SELECT 'B1' AS band, cx, cy, "
 add("ter_slope", lambda s, d: rounded(terrain.slope(dem(s))), _W + _OUT + "round(degrees(sl), 6) AS v FROM a")
 add("ter_aspect", lambda s, d: rounded(terrain.aspect(dem(s))), _W + _OUT + "round(asp, 6) AS v FROM a")
-add("ter_curvature", lambda s, d: rounded(terrain.curvature(dem(s))), _W + _OUT + "round(CASE WHEN g = 0 AND h = 0 THEN 0 ELSE -2 * (d + f) END, 6) AS v FROM a")
+add("ter_curvature", lambda s, d: rounded(terrain.curvature(dem(s))), _W + _OUT + "round(CASE WHEN g = 0 AND h = 0 THEN 0 ELSE -2 * (d + f) END, 6) + 0 AS v FROM a")
 add("ter_hillshade", lambda s, d: rounded(terrain.hillshade(dem(s))), _W + _OUT + "round(acos(greatest(least(sin(pi() / 2 - sl) * sin(radians(45)) + cos(pi() / 2 - sl) * cos(radians(45)) * cos(radians(asp) - radians(315)), 1), -1)), 6) AS v FROM a")
 add("ter_ruggedness", lambda s, d: rounded(terrain.ruggedness(dem(s))), _W + _OUT + "round(sqrt(sum(pow((t - z) * q, 2)) / sum(q)), 6) AS v FROM (SELECT cx, cy, z, unnest([n, ne, e, se, s, sw, w, nw]) AS t, unnest([1, sqrt(0.5), 1, sqrt(0.5), 1, sqrt(0.5), 1, sqrt(0.5)]) AS q FROM w) WHERE t IS NOT NULL GROUP BY 1, 2, 3")
 add("ter_filter", lambda s, d: terrain.keep(dem(s), [(0, 20), (60, 70)]), _OUT + "CASE WHEN v BETWEEN 0 AND 20 OR v BETWEEN 60 AND 70 THEN v END AS v FROM dem")

@@ -12,9 +12,9 @@ scored with all of the window before them as context, so windows overlap by half
 token is scored once. Windows of many documents make one batch; masks keep positions from
 later tokens, from other documents and from padding.
 
-Training is data parallel: in each round every partition takes Adam steps on its own share
-of the documents from the same start, and the parameters are averaged by tokens, in two
-levels. The share is a fraction of the corpus, so what is gathered grows with it.
+Training is data parallel and goes once over all documents, at every size: each round takes
+another part of them, every partition takes Adam steps on its own documents of that part
+from the same start, and the parameters are averaged by tokens, in two levels.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 D, HIDDEN, HALF = 16, 32, 16
 CLASSES, TAIL, INPUTS = 96, 32, 2048
-SHARE, LEAST_TOKENS, ROUNDS, WINDOWS, RATE = 0.006, 1_000_000, 3, 64, 0.01
+ROUNDS, WINDOWS, RATE = 3, 64, 0.01
 _MASK = np.where(np.arange(2 * HALF)[None, :] <= np.arange(HALF)[:, None] + HALF, 0, -1e9).astype(np.float32)
 _encodings: dict = {}
 
@@ -221,9 +221,8 @@ class Model:
         n = INPUTS + 1
 
         def rows(at: np.ndarray, d: np.ndarray) -> np.ndarray:
-            out = np.zeros((n, D), np.float32)
-            np.add.at(out, at.ravel(), d.reshape(-1, D))
-            return out[:-1]
+            cell = (at.ravel() % n)[:, None] * D + np.arange(D)  # padding's -1 is the last row
+            return np.bincount(cell.ravel(), d.ravel(), n * D).reshape(n, D).astype(d.dtype)[:-1]
 
         gq, gk, gv = rows(own, dq), rows(x, dk), rows(x, dv)
         g["E"] = rows(own, dh) + gq @ p["Wq"].T + gk @ p["Wk"].T + gv @ p["Wv"].T
@@ -232,20 +231,27 @@ class Model:
         return loss, g
 
 
-def train_local(p: np.ndarray, docs: list[np.ndarray], vocab: Vocabulary, seed: int) -> tuple[np.ndarray, int]:
-    """Parameters after one pass of Adam steps over the documents' windows, and the tokens seen."""
-    x, target, _, size = windows(docs, vocab)
-    weight = (np.arange(HALF) < size[:, None]).astype(np.float32)
-    order = np.random.default_rng(seed).permutation(len(x))
-    m, v, t = np.zeros_like(p), np.zeros_like(p), 0
-    for a in range(0, len(order), WINDOWS):
-        i = order[a : a + WINDOWS]
-        _, g = Model(shaped(p)).gradient(x[i], vocab.kind[target[i]], weight[i])
-        g, t = flat(g), t + 1
-        m += 0.1 * (g - m)
-        v += 0.01 * (g * g - v)
-        p = p - np.float32(RATE) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + np.float32(1e-8))
-    return p.astype(np.float32), int(size.sum())
+class Adam:
+    """Parameters that take steps over documents' windows; the moments last over all calls."""
+
+    def __init__(self, p: np.ndarray, vocab: Vocabulary, seed: int):
+        self.p, self.vocab, self.rng = p, vocab, np.random.default_rng(seed)
+        self.m, self.v, self.t, self.tokens = np.zeros_like(p), np.zeros_like(p), 0, 0
+
+    def see(self, docs: list[np.ndarray]) -> None:
+        """One pass over all windows of the documents."""
+        x, target, _, size = windows(docs, self.vocab)
+        weight = (np.arange(HALF) < size[:, None]).astype(np.float32)
+        order = self.rng.permutation(len(x))
+        for a in range(0, len(order), WINDOWS):
+            i = order[a : a + WINDOWS]
+            _, g = Model(shaped(self.p)).gradient(x[i], self.vocab.kind[target[i]], weight[i])
+            g, self.t = flat(g), self.t + 1
+            self.m += 0.1 * (g - self.m)
+            self.v += 0.01 * (g * g - self.v)
+            step = (self.m / (1 - 0.9**self.t)) / (np.sqrt(self.v / (1 - 0.99**self.t)) + np.float32(1e-8))
+            self.p = (self.p - np.float32(RATE) * step).astype(np.float32)
+        self.tokens += int(size.sum())
 
 
 def _average(t: pa.Table) -> pa.Table:
@@ -254,34 +260,40 @@ def _average(t: pa.Table) -> pa.Table:
     return pa.table({"p": pa.array([(total / max(w.sum(), 1)).astype(np.float32).tobytes()], pa.binary()), "w": pa.array([int(w.sum())])})
 
 
-def train(tokens: DataFrame, vocab: Vocabulary, total: int) -> np.ndarray:
-    """Parameters after ``ROUNDS`` rounds, each over its own share of the documents.
+def runs(sizes: np.ndarray, most: int = 400_000) -> Iterator[tuple[int, int]]:
+    """Runs [a, z) of whole documents of about ``most`` tokens, so that working arrays stay small."""
+    a, end = 0, np.cumsum(sizes)
+    while a < len(sizes):
+        z = max(a + 1, int(np.searchsorted(end, (end[a - 1] if a else 0) + most, side="right")))
+        yield a, z
+        a = z
 
-    The share is ``SHARE`` of the corpus a round, or more where that would be fewer than
-    ``LEAST_TOKENS`` tokens (then at most everything).
-    """
-    p = flat(start(vocab))
-    share = min(1.0, max(SHARE, LEAST_TOKENS / max(total, 1)))
+
+def part(tokens: DataFrame, r: int) -> DataFrame:
+    """The documents of round ``r``; every document is in exactly one round."""
+    return tokens.where((F.col("pick") >= r / ROUNDS) & (F.col("pick") < (r + 1) / ROUNDS))
+
+
+def train(tokens: DataFrame, vocab: Vocabulary) -> tuple[np.ndarray, int]:
+    """Parameters after ``ROUNDS`` rounds, which together see every document once, and the tokens seen."""
+    p, seen = flat(start(vocab)), 0
     for r in range(ROUNDS):
-        low = r * share % 1.0
-        pick = F.pmod(F.col("pick") - low + 1.0, F.lit(1.0)) < share
 
         def run(batches: Iterator[pa.RecordBatch], p=p, r=r) -> Iterator[pa.RecordBatch]:
-            held, n = p, 0
+            held = Adam(p, vocab, r)
             for b in batches:
                 docs = [d for d in (_ids(x.as_py()) for x in b.column("ids")) if len(d)]
-                if docs:
-                    held, k = train_local(held, docs, vocab, r)
-                    n += k
-            if n:
-                yield pa.RecordBatch.from_arrays([pa.array([held.tobytes()], pa.binary()), pa.array([n])], ["p", "w"])
+                for a, z in runs(np.array([len(d) for d in docs], np.int64)):
+                    held.see(docs[a:z])
+            if held.tokens:
+                yield pa.RecordBatch.from_arrays([pa.array([held.p.tobytes()], pa.binary()), pa.array([held.tokens])], ["p", "w"])
 
-        own = tokens.where(pick).select("ids").mapInArrow(run, "p binary, w long")
+        own = part(tokens, r).select("ids").mapInArrow(run, "p binary, w long")
         some = own.groupBy(F.pmod(F.xxhash64("p"), F.lit(16)).alias("g")).applyInArrow(_average, "p binary, w long")
         got = some.groupBy().applyInArrow(_average, "p binary, w long").first()
         if got is not None:
-            p = np.frombuffer(got["p"], np.float32)
-    return p
+            p, seen = np.frombuffer(got["p"], np.float32), seen + got["w"]
+    return p, seen
 
 
 def score_docs(p: np.ndarray, docs: list[np.ndarray], vocab: Vocabulary, batch: int = 512) -> np.ndarray:
@@ -311,17 +323,15 @@ def scores(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     counts = np.zeros(max([*seen, INPUTS * 2]) + 1)
     counts[list(seen)] = list(seen.values())
     vocab = vocabulary(counts)
-    p = train(tokens, vocab, int(counts.sum()))
+    p, _ = train(tokens, vocab)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = [_ids(x.as_py()) for x in b.column("ids")]
             n = np.array([len(v) for v in ids], np.int64)
-            nll, a, end = np.zeros(len(ids)), 0, np.cumsum(n)
-            while a < len(ids):
-                z = max(a + 1, int(np.searchsorted(end, (end[a - 1] if a else 0) + 400_000, side="right")))
+            nll = np.zeros(len(ids))
+            for a, z in runs(n):
                 nll[a:z] = score_docs(p, ids[a:z], vocab)
-                a = z
             mean = np.where(n > 0, nll / np.maximum(n, 1), np.nan)
             none = n == 0
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(np.round(mean, 6), mask=none), pa.array(np.round(np.exp(np.minimum(mean, 700)), 4), mask=none)], ["doc_id", "n_tokens", "nll", "perplexity"])

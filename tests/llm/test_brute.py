@@ -153,6 +153,15 @@ def test_scores_beat_token_frequencies(spark, texts):
     assert {r.doc_id: r.n_tokens for r in got} == {i: len(enc.encode_ordinary(t or "")) for i, t in texts.items()}
 
 
+def test_training_sees_every_document_once(spark):
+    """More than 3M tokens, of which a million a round were seen before."""
+    rows = [(i, (i * 7919 % 4000) / 4000, np.full(1000 + i % 7, i % 50, np.uint16).tobytes()) for i in range(4000)]
+    tokens = spark.createDataFrame(rows, "doc_id long, pick double, ids binary").repartition(8)
+    parts = [{r.doc_id for r in attention_lm.part(tokens, r).collect()} for r in range(attention_lm.ROUNDS)]
+    assert sum(map(len, parts)) == 4000 and set().union(*parts) == set(range(4000))
+    assert attention_lm.train(tokens, attention_lm.vocabulary(np.ones(5000)))[1] == sum(len(x) // 2 for _, _, x in rows)
+
+
 def _least_distance(item, text):
     row = [0] * (len(text) + 1)
     for i, a in enumerate(item, 1):

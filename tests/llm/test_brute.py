@@ -43,6 +43,21 @@ def test_rules_by_enumeration(spark, max_tokens):
     assert all(r["anchor"] in r["items"] for r in got)
 
 
+def test_rules_of_wide_urls(spark):
+    """19 frequent tokens: a and b are bad only together, and each of the 17 others is worse than either."""
+    wide = [f"c{i}" for i in range(17)]
+    rows = [(["a"], 0)] * 100 + [(["b"], 0)] * 100 + [(["a", "b", *wide], 1)] * 60 + [(wide, int(i < 30)) for i in range(40)] + [(["a", "b"], 1)] * 10
+    found = {}
+    for n in range(1, 4):  # larger sets hold a smaller one that is as confident
+        for c in itertools.combinations(sorted(["a", "b", *wide]), n):
+            of = [bad for have, bad in rows if set(c) <= set(have)]
+            if sum(of) >= 5 and sum(of) >= 0.5 * len(of):
+                found[c] = sum(of) / len(of)
+    want = {c: p for c, p in found.items() if not any(set(o) < set(c) and q >= p for o, q in found.items())}
+    got = url_rules.mine(spark.createDataFrame(rows, "items array<string>, bad int"), 0.002, 5, 0.5, 16).collect()
+    assert want["a", "b"] == 1 and {tuple(r["items"]): pytest.approx(r["confidence"]) for r in got} == want
+
+
 def test_tokens_are_the_tokenizers(texts):
     enc = attention_lm.encoding(token_fst.VOCABULARY)
     rng = random.Random(5)

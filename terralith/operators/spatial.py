@@ -297,3 +297,17 @@ def land_suitability(land: DataFrame, ecology: DataFrame, urban: DataFrame, slop
     bits = sized.join(near, sized["id"] == near["a"], "left").where((F.col("area") < small) & (F.col("area") + F.coalesce("other", F.lit(0.0)) < joined))
     out = out.unionByName(bits.select("id", "geom", F.lit("fragment").alias("reason")))
     return out.where(G.measure("area")("geom") > least)
+
+
+def voronoi_cells(df: DataFrame, frame: str, parts: int = 16) -> DataFrame:
+    """(x, y, geom): the cell of each distinct point within a WKT frame; ``parts`` tasks, each with all points."""
+    points = df.select("x", "y").dropna().distinct()
+    own = points.withColumn("part", F.pmod(F.xxhash64("x", "y"), F.lit(parts)))
+    every = points.select(F.col("x").alias("px"), F.col("y").alias("py"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("to"))
+
+    def make(mine: pa.Table, all_: pa.Table) -> pa.Table:
+        x, y = (mine[c].to_pylist() if mine.num_rows else [] for c in ("x", "y"))
+        cells = G.voronoi(list(zip(all_["px"].to_pylist(), all_["py"].to_pylist())), G.from_wkt(frame), list(zip(x, y)))
+        return pa.table({"x": pa.array(x, pa.float64()), "y": pa.array(y, pa.float64()), "geom": pa.array([G.to_wkt(c) for c in cells], pa.string())})
+
+    return own.groupBy("part").cogroup(every.groupBy("to")).applyInArrow(make, "x double, y double, geom string")

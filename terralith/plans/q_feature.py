@@ -133,7 +133,7 @@ add("geo_intersection_aggregate", lambda s, d: rounded(spatial.intersection_aggr
 add("geo_erase", lambda s, d: rounded(spatial.erase(_poly(s, d), _poly(s, d, 10.0).where("id = 6"), 36.0).select("id", G.measure("area")("geom").alias("v"))), f"SELECT a.id, round(2592 - CASE WHEN b.id IS NULL THEN 0 ELSE {_IA} END, 6) AS v FROM boxes a LEFT JOIN (SELECT * FROM {_S} WHERE id = 6) b ON {_OVER}")
 add("geo_difference_rows", lambda s, d: rounded(spatial.difference(_poly(s, d), _poly(s, d, 10.0).where("id = 6"), 36.0).select("id", G.measure("area")("geom").alias("v"))), f"SELECT a.id, round(2592 - (CASE WHEN {_OVER} THEN {_IA} ELSE 0 END), 6) AS v FROM boxes a JOIN (SELECT * FROM {_S} WHERE id = 6) b ON {_MEET}")
 add("geo_difference_with", lambda s, d: rounded(spatial.difference_with(_poly(s, d), "POLYGON ((-10 -10, 10 -10, 10 10, -10 10, -10 -10))").select("id", G.measure("area")("geom").alias("v"))), "SELECT id, round(2592 - greatest(0, least(xmax, 10) - greatest(xmin, -10)) * greatest(0, least(ymax, 10) - greatest(ymin, -10)), 6) AS v FROM boxes")
-add("geo_buffer_overlay", lambda s, d: spatial.buffer_overlay(_poly(s, d).where("id = 12"), _poly(s, d).select(F.col("id").alias("other"), "geom"), 1.0, 36.0).select("id", G.measure("area")("geom").alias("v")))
+add("geo_buffer_overlay", lambda s, d: spatial.buffer_overlay(_poly(s, d), _poly(s, d).select(F.col("id").alias("other"), "geom"), 1.0, 36.0).select("id", G.measure("area")("geom").alias("v")))
 add("geo_within_distance", lambda s, d: rounded(spatial.within_distance(_poly(s, d).where("id = 12"), _poly(s, d), 36.0, 36.0), "dist"), "SELECT a.id AS a, b.id AS b, round(sqrt(pow(greatest(0, a.xmin - b.xmax, b.xmin - a.xmax), 2) + pow(greatest(0, a.ymin - b.ymax, b.ymin - a.ymax), 2)), 6) AS dist FROM boxes a JOIN boxes b ON a.id = 12 AND sqrt(pow(greatest(0, a.xmin - b.xmax, b.xmin - a.xmax), 2) + pow(greatest(0, a.ymin - b.ymax, b.ymin - a.ymax), 2)) <= 36")
 add("geo_nearest_within", lambda s, d: rounded(spatial.nearest_within(_poly(s, d).where("id < 5"), _poly(s, d).where("id > 9"), 40.0, 36.0), "min_dist"), "SELECT id AS a, 36.0 AS min_dist, 9 + greatest(1, id) AS nearest FROM boxes WHERE id < 5")
 add("geo_neighbourhood", lambda s, d: rounded(spatial.neighbourhood(_poly(s, d), 36.0), "area", "length"), "SELECT id, 0.0 AS area, round(72.0 * ((ymin > -90)::INT + (ymax < 90)::INT) + 36.0 * ((xmin > -180)::INT + (xmax < 180)::INT), 6) AS length, (1 + (xmin > -180)::INT + (xmax < 180)::INT) * (1 + (ymin > -90)::INT + (ymax < 90)::INT) - 1 AS node_count FROM boxes")

@@ -12,6 +12,10 @@ A node that is still large at the last level holds documents that agree on sever
 values, so mostly copies of one text. It is compared exhaustively as well, but pairs that
 are already known to be in one group are skipped, so a node of n copies takes about n
 comparisons. Nothing caps the members of a node or the partners of a document.
+
+Sketches only filter: a pair at ``SLACK`` below the threshold or more is a candidate, and is
+decided by the exact Jaccard similarity of its shingles. One at ``SURE`` above the threshold
+(5.7 standard deviations of the estimate, about 6e-9 of pairs at the threshold) needs none.
 """
 
 from __future__ import annotations
@@ -29,6 +33,7 @@ from .common import cut, groups_of, mix64, utf8_buffers
 SIZE = 128
 WORDS = 3
 SMALL = 64
+SLACK, SURE = 0.1, 0.25
 _BLOCK = 1 << 18
 
 _LUT = np.full(256, 32, np.uint8)
@@ -163,8 +168,8 @@ def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((a == b).mean(-1) - 1 / 256) / (1 - 1 / 256)
 
 
-def components(sig: np.ndarray, threshold: float) -> np.ndarray:
-    """Smallest index of each row's group.
+def components(sig: np.ndarray, threshold: float, low: float = 1.0, near: list | None = None) -> np.ndarray:
+    """Smallest index of each row's group; ``near`` gets the pairs of rows of two groups at ``low`` or more.
 
     Every row outside the largest group is compared with all rows; two rows of the largest
     group are together already. That is exhaustive, and linear where one group fills a node.
@@ -173,18 +178,23 @@ def components(sig: np.ndarray, threshold: float) -> np.ndarray:
     label, asked, i = np.arange(n), np.zeros(n, bool), 0
     while True:
         asked[i] = True
-        hit = np.concatenate([np.flatnonzero(agreement(sig[a : a + 65536], sig[i]) >= threshold) + a for a in range(0, n, 65536)])
-        ids = np.unique(np.append(label[hit], label[i]))
+        like = np.concatenate([agreement(sig[a : a + 65536], sig[i]) for a in range(0, n, 65536)])
+        ids = np.unique(np.append(label[like >= threshold], label[i]))
         if len(ids) > 1:
             label[np.isin(label, ids)] = ids[0]
+        if near is not None:
+            other = np.flatnonzero((like >= low) & (label != label[i]))
+            near.append(np.stack([np.full(len(other), i), other]))
         rest = np.flatnonzero((label != np.bincount(label).argmax()) & ~asked)
         if not len(rest):
+            if near:
+                near[:] = [x[:, label[x[0]] != label[x[1]]] for x in near]
             return label
         i = rest[0]
 
 
-def _pairs_in_small(path: np.ndarray, sig: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of similar rows in one node; rows of a node follow one another."""
+def _pairs_in_small(path: np.ndarray, sig: np.ndarray, low: float, sure: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Index pairs of similar rows in one node, and which are sure; rows of a node follow one another."""
     out, n, shift = [], len(path), 1
     live = np.arange(n)
     while True:
@@ -194,28 +204,34 @@ def _pairs_in_small(path: np.ndarray, sig: np.ndarray, threshold: float) -> tupl
             break
         for a in range(0, len(live), 65536):
             i = live[a : a + 65536]
-            hit = i[agreement(sig[i], sig[i + shift]) >= threshold]
-            out.append(np.stack([hit, hit + shift]))
+            like = agreement(sig[i], sig[i + shift])
+            hit = i[like >= low]
+            out.append(np.stack([hit, hit + shift, like[like >= low] >= sure]))
         shift += 1
-    return tuple(np.concatenate(out, 1)) if out else (np.zeros(0, int), np.zeros(0, int))
+    i, j, known = np.concatenate(out, 1) if out else np.zeros((3, 0), int)
+    return i, j, known.astype(bool)
 
 
 def _compare(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    """Edges (a, b) of a partition that is sorted by node; a node may span batches."""
+    """Edges (a, b, sure) of a partition that is sorted by node; a node may span batches."""
+    low, high = threshold - SLACK, threshold + SURE
 
     def edges(path: np.ndarray, vid: np.ndarray, sig: np.ndarray) -> pa.RecordBatch:
         cutoff = np.flatnonzero(np.diff(path)) + 1
         begin, size = np.concatenate([[0], cutoff]), np.diff(np.concatenate([[0], cutoff, [len(path)]]))
         small = np.repeat(size <= SMALL, size)
-        i, j = _pairs_in_small(path[small], sig[small], threshold)
-        a, b = [vid[small][i]], [vid[small][j]]
+        i, j, known = _pairs_in_small(path[small], sig[small], low, high)
+        a, b, sure = [vid[small][i]], [vid[small][j]], [known]
         for s, k in zip(begin[size > SMALL], size[size > SMALL]):
-            label = components(sig[s : s + k], threshold)
+            near: list = []
+            label = components(sig[s : s + k], high, low, near)
             at = np.flatnonzero(label != np.arange(k))
-            a.append(vid[s + label[at]])
-            b.append(vid[s + at])
-        a, b = np.concatenate(a), np.concatenate(b)
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], ["a", "b"])
+            one, two = np.concatenate(near, 1)
+            a += [vid[s + label[at]], vid[s + one]]
+            b += [vid[s + at], vid[s + two]]
+            sure += [np.ones(len(at), bool), np.zeros(len(one), bool)]
+        a, b, sure = np.concatenate(a), np.concatenate(b), np.concatenate(sure)
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64()), pa.array(sure)], ["a", "b", "sure"])
 
     held: list[tuple] = []
     for batch in batches:
@@ -261,7 +277,35 @@ def _byte(sig: np.ndarray) -> np.ndarray:
     return ((sig * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8)
 
 
-def similar_edges(sk: DataFrame, trees: int, threshold: float, levels: int) -> DataFrame:
+def _set_batches(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        raw, off = utf8_buffers(b.column("text"))
+        out = []
+        for x, z in groups_of(off, _BLOCK):
+            s, first = shingles(raw[off[x] : off[z]], off[x : z + 1] - off[x], words)
+            out += [np.unique(s[first[k] : first[k + 1]]).tobytes() for k in range(z - x)]
+        yield pa.RecordBatch.from_arrays([b.column("vid"), pa.array(out, pa.binary())], ["vid", "set"])
+
+
+def verified(pairs: DataFrame, texts: DataFrame, threshold: float, words: int = WORDS) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have a Jaccard similarity of ``threshold`` or more; texts are (vid, text)."""
+    need = pairs.select(F.explode(F.array("a", "b")).alias("vid")).distinct()
+    sets = cut(texts.join(need, "vid", "left_semi").dropDuplicates(["vid"]).mapInArrow(lambda it: _set_batches(it, words), "vid long, set binary"))
+
+    @F.arrow_udf("boolean")
+    def alike(x: pa.Array, y: pa.Array) -> pa.Array:
+        out = []
+        for p, q in zip(x, y):
+            p, q = (np.frombuffer(v.as_py(), np.uint32) for v in (p, q))
+            both = len(np.intersect1d(p, q, assume_unique=True))
+            out.append(both >= threshold * (len(p) + len(q) - both))
+        return pa.array(out, pa.bool_())
+
+    one = pairs.join(sets.select(F.col("vid").alias("a"), F.col("set").alias("x")), "a")
+    return one.join(sets.select(F.col("vid").alias("b"), F.col("set").alias("y")), "b").where(alike("x", "y")).select("a", "b")
+
+
+def similar_edges(sk: DataFrame, texts: DataFrame, trees: int, threshold: float, levels: int, words: int = WORDS) -> DataFrame:
     """Edges (a, b), a < b, between vertices of which ``sk`` has one for each distinct sketch."""
     nodes = candidate_nodes(sk, trees, threshold, levels)
 
@@ -272,7 +316,8 @@ def similar_edges(sk: DataFrame, trees: int, threshold: float, levels: int) -> D
 
     held = nodes.join(sk.select("vid", short("sig").alias("sig8")), "vid")
     held = held.repartition("path").sortWithinPartitions("path")
-    return held.mapInArrow(lambda it: _compare(it, threshold), "a long, b long").distinct()
+    found = cut(held.mapInArrow(lambda it: _compare(it, threshold), "a long, b long, sure boolean").groupBy("a", "b").agg(F.max("sure").alias("sure")))
+    return found.where("sure").select("a", "b").unionByName(verified(found.where("not sure").select("a", "b"), texts, threshold, words))
 
 
 def connected(edges: DataFrame, most: int = 40) -> DataFrame:
@@ -298,7 +343,7 @@ def connected(edges: DataFrame, most: int = 40) -> DataFrame:
     return now.select(F.col("u").alias("vid"), F.col("v").alias("comp")).unionByName(now.select(F.col("v").alias("vid"), F.col("v").alias("comp")).distinct())
 
 
-def groups(docs: DataFrame, threshold: float = 0.5, trees: int = 8, levels: int = 4, words: int = WORDS) -> DataFrame:
+def groups(docs: DataFrame, threshold: float = 0.5, trees: int = 16, levels: int = 4, words: int = WORDS) -> DataFrame:
     """(vid, doc_id, keep_id, keep_vid) of each vertex in a group of two or more.
 
     The member with the smallest id (a null id comes last, then the smaller hash) stays.
@@ -307,14 +352,14 @@ def groups(docs: DataFrame, threshold: float = 0.5, trees: int = 8, levels: int
     exact = sk.groupBy("sk").agg(F.min("vid").alias("rep"))
     members = cut(sk.select("vid", "doc_id", "sk").distinct().join(exact, "sk").select("vid", "doc_id", "rep"))
     reps = cut(sk.join(exact.select(F.col("rep").alias("vid")), "vid", "left_semi").dropDuplicates(["vid"]).select("vid", "sig"))
-    comp = connected(similar_edges(reps, trees, threshold, levels))
+    comp = connected(similar_edges(reps, docs.select(vertex(docs).alias("vid"), F.col("text").alias("text")), trees, threshold, levels, words))
     all_ = members.join(comp.withColumnRenamed("vid", "rep"), "rep", "left").select("vid", "doc_id", F.coalesce("comp", "rep").alias("comp"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("vid"))
     best = all_.groupBy("comp").agg(F.min(order).alias("best"), F.count("*").alias("n")).where("n > 1")
     return all_.join(best, "comp").select("vid", "doc_id", F.col("best.doc_id").alias("keep_id"), F.col("best.vid").alias("keep_vid"))
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.5, trees: int = 8, levels: int = 4, words: int = WORDS) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = 0.5, trees: int = 16, levels: int = 4, words: int = WORDS) -> DataFrame:
     """(doc_id, duplicate_of): every document that goes, with the one of its group that stays.
 
     * null or empty text, or text without letters and digits: no shingles, never a copy
@@ -328,7 +373,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.5, trees: int = 8, lev
     return got.where("vid != keep_vid").select("doc_id", F.col("keep_id").alias("duplicate_of"))
 
 
-def keep_one(docs: DataFrame, threshold: float = 0.5, trees: int = 8, levels: int = 4, words: int = WORDS) -> DataFrame:
+def keep_one(docs: DataFrame, threshold: float = 0.5, trees: int = 16, levels: int = 4, words: int = WORDS) -> DataFrame:
     """Rows of ``docs``, columns as they are, without all but one document of each group.
 
     Rows that repeat both id and text are one document, of which one row stays; see

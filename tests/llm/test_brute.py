@@ -112,6 +112,20 @@ def test_near_duplicates_by_all_pairs(spark, texts):
     assert {r.doc_id for r in minhash.keep_one(docs).collect()} == {i for i, k in keep.items() if i == k}
 
 
+def test_pairs_about_the_threshold(spark):
+    """Sketches alone can't tell pairs of 0.47 from pairs of 0.53; their shingles can."""
+    rng = random.Random(9)
+    some = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    rows = []
+    for i in range(160):
+        shared, own = some(102), 44 if i % 2 else 56
+        rows += [(2 * i, " ".join(shared + some(own))), (2 * i + 1, " ".join(shared + some(own)))]
+    got = {(r.duplicate_of, r.doc_id) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sim = _jaccard(dict(rows))
+    want = {p for p, s in sim.items() if s >= 0.5}
+    assert len(want) == 80 and got <= want and len(got) >= 0.97 * len(want)
+
+
 def test_components_are_exhaustive():
     rng = np.random.default_rng(2)
     sig = np.concatenate([np.tile(rng.integers(0, 256, (1, 128)), (100, 1)), rng.integers(0, 256, (30, 128)), np.tile(rng.integers(0, 256, (1, 128)), (7, 1))]).astype(np.uint8)

@@ -25,8 +25,9 @@ STOP_WORDS = frozenset(
 )
 LOW, HIGH, SHORT, LONG, LINKS = 0.10, 0.20, 70, 200, 0.2
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|head)\b.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9]*)[^>]*>|<[!?/][^>]*>|([^<]+|<)", re.S | re.I)
-_BLOCK = frozenset("address article aside blockquote body button caption center dd details dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead title tr ul br".split())
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title)\b.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9]*)[^>]*>|<[!?/][^>]*>|([^<]+|<)", re.S | re.I)
+_CLOSED = {x: re.compile(rf"</{x}\s*>", re.I) for x in ("noscript", "template", "svg")}  # skipped only up to an end tag
+_BLOCK = frozenset("address article aside blockquote body button caption center dd details dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead title tr ul br".split())
 _WORD = re.compile(r"\w+")
 _TITLE = re.compile(r"h[1-6]")
 
@@ -45,8 +46,10 @@ def blocks(html: str | None) -> list[tuple[str, int, bool]]:
         parts.clear()
         links = 0
 
-    for m in _TOKEN.finditer(html or ""):
-        tag, text = m[3], m[4]
+    page, at, open_ = html or "", 0, set()
+    while at < len(page):
+        m = _TOKEN.match(page, at)
+        tag, text, at = m[3], m[4], m.end()
         if text is not None:
             if linked:
                 links += len(" ".join(unescape(text).split()))
@@ -56,7 +59,16 @@ def blocks(html: str | None) -> list[tuple[str, int, bool]]:
             parts.append(text)
         elif tag is not None:
             tag = tag.lower()
-            if tag == "a":
+            if tag in _CLOSED:
+                if not m[2] and tag not in open_ and not (tag == "svg" and m[0].endswith("/>")):
+                    close = _CLOSED[tag].search(page, at)
+                    if close:
+                        at = close.end()
+                    else:  # nor has a later one an end tag
+                        open_.add(tag)
+                if tag != "svg":
+                    parts.append(" ")
+            elif tag == "a":
                 linked = max(0, linked - 1) if m[2] else linked + 1
             elif tag == "br":
                 breaks += 1
@@ -69,8 +81,11 @@ def blocks(html: str | None) -> list[tuple[str, int, bool]]:
                     heading = not m[2]
             else:
                 continue
-        elif m[1] is not None and m[1].lower() != "svg":
-            parts.append(" ")
+        elif m[1] is not None:
+            if m[1].lower() == "title":
+                end()
+            else:
+                parts.append(" ")
     end()
     return out
 
@@ -129,8 +144,9 @@ def extract_page(html: str | None) -> tuple[str, int, int]:
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, text, n_blocks, n_good) of every page.
 
-    * null, empty or text-less html: empty text and no blocks; unclosed tags, comments and
-      scripts run to the end of the page; a null id is carried
+    * null, empty or text-less html: empty text and no blocks; unclosed tags, comments,
+      scripts, styles, titles and text areas run to the end of the page; an unclosed head,
+      svg, noscript or template does not; a null id is carried
     * repeated rows each give a row; an empty table gives an empty result
     * other columns are ignored, whatever their names
     """

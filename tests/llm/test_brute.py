@@ -80,6 +80,14 @@ def test_blocks():
     assert text.split("\n") == ["A title", prose.strip(), "Short one.", prose.strip()] and good == 4
 
 
+@pytest.mark.parametrize("open_", ["<head><title>t</title><body>", "<head><meta charset=x><title>t</title>", "<head></head><svg viewBox=x><path d=y>", "<svg/>", "<noscript><img src=x>", "<template>"])
+def test_unclosed_elements_leave_the_page(open_):
+    prose = "This is the main part of the story and it was told by a man who had been there with his friends for years. " * 3
+    assert html_blocks.extract_page(f"<html>{open_}<p>{prose}</p>") == (prose.strip(), 1, 1)
+    closed = "<svg><text>x</text></svg><noscript>no</noscript><template><p>t</p></template>"
+    assert html_blocks.extract_page(f"<html><head><title>t</title></head><body>{closed}<p>{prose}</p>") == (prose.strip(), 1, 1)
+
+
 def test_raking_meets_targets():
     import pandas as pd
 

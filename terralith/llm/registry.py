@@ -44,8 +44,8 @@ def op6_near_duplicates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op8_top_k(spark: SparkSession, d: str) -> DataFrame:
-    """The ten nearest others of every vector."""
-    return topk.top_k(table(spark, d, "embeddings"))
+    """The ten nearest others, among all vectors, of every vector whose id is divisible by 20."""
+    return topk.top_k(table(spark, d, "embeddings"), query=topk.every_20th())
 
 
 def op9_lm_scores(spark: SparkSession, d: str) -> DataFrame:

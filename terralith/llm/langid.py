@@ -4,8 +4,8 @@ A document is a bag of byte trigrams of its lower-cased text (digits, punctuatio
 white space count as one separator). One linear support vector machine for each family
 decides the family; within it, one-versus-one machines vote for the language.
 
-Training uses at most ``per_language`` labelled rows of each language (a documented bound;
-the rows with the smallest hashes, so the choice doesn't depend on partitioning).
+Training uses at most ``per_language`` labelled texts of each language (a documented bound;
+the texts with the smallest hashes, so the choice doesn't depend on partitioning).
 Prediction reads every byte of every row.
 """
 
@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import groups_of, utf8_buffers
@@ -126,26 +126,25 @@ def train(rows: list[tuple[str, str]], families: dict[str, tuple[str, ...]] | No
 
 
 def labelled_sample(docs: DataFrame, per_language: int) -> list[tuple[str, str]]:
-    """At most ``per_language`` rows of each language: those with the smallest hashes.
+    """At most ``per_language`` different texts of each language: those with the smallest hashes.
 
-    Two passes: languages are counted without reading texts, then one pass keeps the rows
-    below a hash bound that leaves a few more than needed of each.
+    Texts alone decide, so null or repeated ids change nothing and copies count once. The
+    first pass estimates the different texts of each language, which gives a hash bound that
+    leaves a few more than needed; the second keeps, of the texts below it, the smallest
+    within each partition and then of all. The driver gets no more than the bound.
     """
-    t = docs.select(F.col("lang").alias("l"), F.col("text").alias("t"), F.col("doc_id").alias("d")).where("l is not null and l != ''")
-    n = {r[0]: r[1] for r in t.groupBy("l").count().collect()}
-    if not n:
+    t = docs.select(F.col("lang").cast("string").alias("l"), F.col("text").alias("t"), F.xxhash64("text").alias("h")).where("l is not null and l != '' and t is not null and t != ''")
+    n = t.groupBy("l").agg(F.approx_count_distinct("h").alias("n"))
+    bound = n.select("l", (F.lit(2.0**63) * F.least(F.lit(1.0), F.lit(1.3 * per_language + 20) / F.col("n"))).alias("b")).collect()
+    if not bound:
         return []
-    h = F.pmod(F.xxhash64("d"), F.lit(1 << 30))
-    bound = F.lit(None).cast("long")
-    for lang, k in n.items():
-        bound = F.when(F.col("l") == lang, int((1 << 30) * min(1.0, (1.3 * per_language + 20) / k))).otherwise(bound)
-    got = t.where(h < bound).where("t is not null and t != ''").select("l", "t", F.xxhash64("d", "t").alias("h")).collect()
-    out, count = [], {}
-    for lang, text, _ in sorted(got, key=lambda r: (r[0], r[2], r[1])):
-        if count.setdefault(lang, 0) < per_language:
-            count[lang] += 1
-            out.append((lang, text))
-    return out
+    below = F.lit(False)
+    for r in bound:
+        below = below | ((F.col("l") == r["l"]) & (F.abs(F.col("h").cast("double")) <= float(r["b"])))
+    once = t.where(below).groupBy("l", "h").agg(F.min("t").alias("t"))
+    order = Window.partitionBy("l").orderBy("h")
+    got = once.withColumn("i", F.row_number().over(order)).where(F.col("i") <= per_language).select("l", "t", "h").collect()
+    return [(r["l"], r["t"]) for r in sorted(got, key=lambda r: (r["l"], r["h"], r["t"]))]
 
 
 class Predictor:
@@ -229,6 +228,8 @@ def identify(docs: DataFrame, per_language: int = 300, families: dict[str, tuple
     * null or empty text, or text without letters: language ``und``, not accepted
     * text of which fewer than ``coverage`` of the trigrams occur in training rows: ``und``
     * null ``lang``: the row isn't used for training, but is predicted
+    * null or repeated ids and copies of a text don't change the choice of training rows
+    * very long texts: all of their trigrams count, in groups of rows of about 2 MB
     * no labelled row at all: every row is ``und``; an empty table gives an empty result
     * repeated rows and ids: each row is predicted by itself; ties go to the earlier name
     * other columns are ignored, whatever their names

@@ -6,6 +6,9 @@ the budget has an exact piece hit at its place. One Aho-Corasick automaton finds
 of all pieces in one pass over a text; Myers' bit-parallel algorithm then gives the true
 distance around each hit. The search is exact: it misses no passage within the budget.
 
+Items of fewer than ``LEAST`` characters occur inside of longer words by chance, so they
+match exactly and between word boundaries only.
+
 Texts are compared in lower case with each run of white space as one space.
 """
 
@@ -59,7 +62,8 @@ class Matcher:
     """Finds items in texts; its automaton is built once in each Python worker."""
 
     def __init__(self, items: list[tuple[int | None, str | None]], rate: float = RATE, least: int = LEAST):
-        self.items = [(i, n, int(rate * len(n))) for i, t in items if len(n := normal(t)) >= max(least, 1)]
+        #: (id, normalised text, budget); a budget of -1 is an exact match between word boundaries
+        self.items = [(i, n, int(rate * len(n)) if len(n) >= least else -1) for i, t in items if (n := normal(t))]
         self.automaton = None
 
     def __getstate__(self):
@@ -71,7 +75,7 @@ class Matcher:
         where: dict[str, list[tuple[int, int]]] = {}
         self.masks = []
         for at, (_, text, k) in enumerate(self.items):
-            for offset, piece in pieces(text, k):
+            for offset, piece in pieces(text, max(k, 0)):
                 where.setdefault(piece, []).append((at, offset))
             mask: dict[str, int] = {}
             for j, c in enumerate(text):
@@ -98,6 +102,9 @@ class Matcher:
             id_, item, k = self.items[at]
             m, best = len(item), None
             order = sorted(found)
+            if k < 0:
+                best = next(((0, p + m) for p in order if not (t[p - 1 : p].isalnum() or t[p + m : p + m + 1].isalnum())), None)
+                order = []
             a = 0
             while a < len(order):
                 b = a
@@ -135,7 +142,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, leas
     passage ends in the normalised document.
 
     * null or empty texts hold nothing; null ids are carried as null
-    * items of fewer than ``least`` characters are left out, since they occur by chance
+    * items of fewer than ``least`` characters match exactly and as whole words only
+    * very long texts and items are matched whole; a document is scanned once a shard of
+      ``SHARD`` characters of the benchmark
     * repeated document rows give repeated result rows; repeated benchmark rows count once
     * an item that occurs several times gives its closest passage, the first of equals
     * an empty table on either side gives an empty result; other columns are ignored

@@ -237,3 +237,48 @@ def test_pipeline_by_its_parts(spark, texts):
     fourth = {r.doc_id for r in corpus_pipeline.mix(spark, third, SF).collect()}
     assert fourth == {r.doc_id for r in mixing.sampled(third).collect()}
     assert {r.doc_id for r in corpus_pipeline.run(spark, SF).collect()} == fourth and [n for n, _ in corpus_pipeline.STAGES][1] == "near_dedup"
+
+
+@pytest.mark.parametrize("ids", [lambda i: None, lambda i: 7, lambda i: i])
+def test_training_rows_of_null_and_repeated_ids(spark, ids):
+    """The choice goes by texts: it is the same for any ids, bounded, and counts copies once."""
+    rows = [(ids(i), ["en", "de"][i % 2], f"text number {i // 2 % 20_000} of {i % 2}") for i in range(50_000)] + [(ids(i), "fr", "la même phrase") for i in range(10_000)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(8)
+    got = langid.labelled_sample(df, 300)
+    assert Counter(lang for lang, _ in got) == {"en": 300, "de": 300, "fr": 1} and len(set(got)) == 601
+    assert got == langid.labelled_sample(df.withColumn("doc_id", spark.range(1).select("id").first()[0] + df["doc_id"]), 300)
+
+
+def test_known_rows_stay_whatever_their_ids(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    want = sorted((r.text or "") for r in langid.keep_known(docs).collect())
+    for other in (docs.withColumn("doc_id", docs["doc_id"] * 0), docs.selectExpr("cast(null as long) doc_id", "text", "lang", "source", "n_chars")):
+        assert sorted((r.text or "") for r in langid.keep_known(other).collect()) == want and want
+
+
+def test_short_items_match_as_whole_words():
+    m = decontam.Matcher([(1, "cat sat"), (2, "Yes"), (3, "a b"), (4, ""), (5, None), (6, " \n ")])
+    assert {i for i, _, _ in m.find("the CAT  sat. yesterday a bc")} == {1}
+    assert {i: e for i, _, e in m.find("concat sat, a b; yes")} == {3: 15, 2: 20} and m.find("concat satin") == []
+
+
+def test_shards_of_a_benchmark(spark, monkeypatch, texts):
+    """The same rows from one shard and from many; an item longer than a shard stays whole."""
+    docs, bench = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
+    long = " ".join(f"w{i}" for i in range(4000))
+    docs = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(-1, "before " + long.replace("w77 ", "w7 ") + " after")], "doc_id long, text string"))
+    bench = bench.select("item_id", "text").unionByName(spark.createDataFrame([(-1, long)], "item_id long, text string"))
+    want = sorted(map(tuple, decontam.contaminated(docs, bench).collect()))
+    monkeypatch.setattr(decontam, "SHARD", 2000)
+    assert len(decontam._shards(bench, decontam.RATE, decontam.LEAST)) > 5
+    assert sorted(map(tuple, decontam.contaminated(docs, bench).collect())) == want and (-1, -1, 1) in {r[:3] for r in want}
+
+
+def test_top_k_of_every_20th(spark):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((500, 8)).round(1)
+    x[3] = x[40]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    all_ = {tuple(r) for r in topk.top_k(df, k=7, block=50, groups=3).collect()}
+    some = {tuple(r) for r in topk.top_k(df, k=7, query=topk.every_20th(), block=10, groups=5).collect()}
+    assert len(all_) == 3500 and some == {r for r in all_ if r[0] % 20 == 0}

@@ -34,8 +34,10 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 D, HIDDEN, HALF = 16, 32, 16
 CLASSES, TAIL, INPUTS = 96, 32, 2048
-ROUNDS, WINDOWS, RATE = 3, 64, 0.01
-_MASK = np.where(np.arange(2 * HALF)[None, :] <= np.arange(HALF)[:, None] + HALF, 0, -1e9).astype(np.float32)
+ROUNDS, WINDOWS, RATE = 3, 256, 0.01
+MOST = np.float32(60)  # logits are cut to +- MOST, so that their exponentials need no shift
+_MASK = (np.arange(2 * HALF)[None, :] <= np.arange(HALF)[:, None] + HALF).astype(np.float32)
+_ONES = {n: np.ones(n, np.float32) for n in (2 * HALF, CLASSES)}
 _encodings: dict = {}
 
 
@@ -167,67 +169,69 @@ class Model:
         self.e, self.q, self.k, self.v = e, e @ p["Wq"], e @ p["Wk"], e @ p["Wv"]
 
     def forward(self, x: np.ndarray) -> tuple:
-        """Logits of the scored positions and what the gradient needs."""
+        """Exponentials of the logits of the scored positions, their sums and what the gradient needs."""
         p = self.p
         own = x[:, HALF:]
-        q = self.q[own] + p["Pq"]
-        k = self.k[x] + p["Pk"]
-        v = self.v[x]
-        s = q @ k.transpose(0, 2, 1)
-        s *= np.float32(D**-0.5)
-        s += _MASK
-        s += np.where(x < 0, np.float32(-1e9), np.float32(0))[:, None, :]
-        s -= s.max(-1, keepdims=True)
+        q = self.q.take(own, axis=0)
+        q += p["Pq"]
+        q *= np.float32(D**-0.5)
+        k = self.k.take(x, axis=0)
+        k += p["Pk"]
+        v = self.v.take(x, axis=0)
+        s = q @ np.ascontiguousarray(k.transpose(0, 2, 1))
+        np.clip(s, -MOST, MOST, out=s)
         np.exp(s, out=s)
-        s /= s.sum(-1, keepdims=True)
-        h = self.e[own] + s @ v
+        s *= _MASK
+        if (x < 0).any():
+            s *= (x >= 0).astype(np.float32)[:, None, :]
+        s /= (s @ _ONES[2 * HALF])[..., None]
+        h = s @ v
+        h += self.e.take(own, axis=0)
         z = h.reshape(-1, D) @ p["W"]
         z += p["c"]
         np.maximum(z, 0, out=z)
         y = z @ p["U"]
         y += p["b"]
-        return y, (own, q, k, v, s, h, z)
+        np.clip(y, -MOST, MOST, out=y)
+        np.exp(y, out=y)
+        return y, y @ _ONES[CLASSES], (own, q, k, v, s, h, z)
 
     def losses(self, x: np.ndarray, kind: np.ndarray) -> np.ndarray:
         """Negative log probability of the class at each scored position."""
-        y = self.forward(x)[0]
-        at = y[np.arange(len(y)), kind.ravel()]
-        top = y.max(-1)
-        y -= top[:, None]
-        np.exp(y, out=y)
-        return (np.log(y.sum(-1)) + top - at).reshape(kind.shape)
+        y, total, _ = self.forward(x)
+        return np.log(total / y[np.arange(len(y)), kind.ravel()]).reshape(kind.shape)
 
     def gradient(self, x: np.ndarray, kind: np.ndarray, weight: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Weighted mean loss and its gradient; weight 0 takes a position out."""
         p = self.p
-        y, (own, q, k, v, s, h, z) = self.forward(x)
-        y -= y.max(-1, keepdims=True)
-        np.exp(y, out=y)
-        y /= y.sum(-1, keepdims=True)
-        w = (weight / max(weight.sum(), 1)).ravel().astype(np.float32)
+        y, total, (own, q, k, v, s, h, z) = self.forward(x)
+        w = (weight / max(weight.sum(), 1)).ravel().astype(y.dtype)
         i = np.arange(len(y))
-        loss = float(-(np.log(y[i, kind.ravel()] + 1e-30) * w).sum())
-        y[i, kind.ravel()] -= 1
-        y *= w[:, None]
+        loss = float((np.log(total / y[i, kind.ravel()]) * w).sum())
+        y *= (w / total)[:, None]
+        y[i, kind.ravel()] -= w
         g = {"U": z.T @ y, "b": y.sum(0)}
-        dz = (y @ p["U"].T) * (z > 0)
+        dz = y @ p["U"].T
+        dz *= z > 0
         g["W"], g["c"] = h.reshape(-1, D).T @ dz, dz.sum(0)
         dh = (dz @ p["W"].T).reshape(h.shape)
-        ds = dh @ v.transpose(0, 2, 1)
+        ds = dh @ np.ascontiguousarray(v.transpose(0, 2, 1))
         dv = s.transpose(0, 2, 1) @ dh
-        ds = s * (ds - (ds * s).sum(-1, keepdims=True)) * np.float32(D**-0.5)
-        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
+        ds *= s
+        ds -= s * (ds @ np.ones(2 * HALF, ds.dtype))[..., None]
+        dk = ds.transpose(0, 2, 1) @ q
+        dq = ds @ k
+        dq *= np.float32(D**-0.5)
         g["Pq"], g["Pk"] = dq.sum(0), dk.sum(0)
-        n = INPUTS + 1
-
-        def rows(at: np.ndarray, d: np.ndarray) -> np.ndarray:
-            cell = (at.ravel() % n)[:, None] * D + np.arange(D)  # padding's -1 is the last row
-            return np.bincount(cell.ravel(), d.ravel(), n * D).reshape(n, D).astype(d.dtype)[:-1]
-
-        gq, gk, gv = rows(own, dq), rows(x, dk), rows(x, dv)
-        g["E"] = rows(own, dh) + gq @ p["Wq"].T + gk @ p["Wk"].T + gv @ p["Wv"].T
-        e = p["E"]
-        g["Wq"], g["Wk"], g["Wv"] = e.T @ gq, e.T @ gk, e.T @ gv
+        flat_, e = (lambda d: d.reshape(-1, D)), self.e
+        q_, k_, v_ = flat_(dq), flat_(dk), flat_(dv)
+        to, all_ = flat_(e.take(own, axis=0)), flat_(e.take(x, axis=0))
+        g["Wq"], g["Wk"], g["Wv"] = to.T @ q_, all_.T @ k_, all_.T @ v_
+        de = (k_ @ p["Wk"].T + v_ @ p["Wv"].T).reshape(*x.shape, D)
+        de[:, HALF:] += dh + (q_ @ p["Wq"].T).reshape(dh.shape)  # the scored positions are the window's second block
+        at = x.ravel() + 1  # row 0 is padding's, which has no parameters
+        columns = np.ascontiguousarray(flat_(de).T)
+        g["E"] = np.stack([np.bincount(at, c, INPUTS + 1)[1:] for c in columns], 1).astype(p["E"].dtype)
         return loss, g
 
 

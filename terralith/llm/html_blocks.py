@@ -26,6 +26,8 @@ STOP_WORDS = frozenset(
 LOW, HIGH, SHORT, LONG, LINKS = 0.10, 0.20, 70, 200, 0.2
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title)\b.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9]*)[^>]*>|<[!?/][^>]*>|([^<]+|<)", re.S | re.I)
+# The same where no ">" is left, so that no "<" is tried as a tag all the way to the end.
+_TAIL = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title)\b.*?(?:</\1\s*>|\Z)|((?!))?((?!))?([^<]+|<)", re.S | re.I)
 _CLOSED = {x: re.compile(rf"</{x}\s*>", re.I) for x in ("noscript", "template", "svg")}  # skipped only up to an end tag
 _BLOCK = frozenset("address article aside blockquote body button caption center dd details dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead title tr ul br".split())
 _WORD = re.compile(r"\w+")
@@ -47,8 +49,9 @@ def blocks(html: str | None) -> list[tuple[str, int, bool]]:
         links = 0
 
     page, at, open_ = html or "", 0, set()
+    last = page.rfind(">")
     while at < len(page):
-        m = _TOKEN.match(page, at)
+        m = (_TOKEN if at < last else _TAIL).match(page, at)
         tag, text, at = m[3], m[4], m.end()
         if text is not None:
             if linked:
@@ -147,6 +150,8 @@ def extract(pages: DataFrame) -> DataFrame:
     * null, empty or text-less html: empty text and no blocks; unclosed tags, comments,
       scripts, styles, titles and text areas run to the end of the page; an unclosed head,
       svg, noscript or template does not; a null id is carried
+    * very long pages are read whole, in time that grows with their length
+    * ties: a short block between a good and a bad one goes by the near-good rule above
     * repeated rows each give a row; an empty table gives an empty result
     * other columns are ignored, whatever their names
     """

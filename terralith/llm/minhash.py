@@ -11,7 +11,12 @@ exhaustively, large ones branch on. Independent trees repeat this to the wanted
 A node that is still large at the last level holds documents that agree on several drawn
 values, so mostly copies of one text. It is compared exhaustively as well, but pairs that
 are already known to be in one group are skipped, so a node of n copies takes about n
-comparisons. Nothing caps the members of a node or the partners of a document.
+comparisons. One of more than ``BIG`` members is dealt into blocks, and every two blocks are
+compared by a task of their own, which bounds a task's memory. Nothing caps the members of a
+node or the partners of a document.
+
+The number of trees follows from the target recall at the threshold: a pair stays together
+in a tree of ``levels`` levels with the survival probability of the branching process.
 
 Sketches only filter: a pair at ``SLACK`` below the threshold or more is a candidate, and is
 decided by the exact Jaccard similarity of its shingles. One at ``SURE`` above the threshold
@@ -21,6 +26,7 @@ decided by the exact Jaccard similarity of its shingles. One at ``SURE`` above t
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +38,8 @@ from .common import cut, groups_of, mix64, utf8_buffers
 
 SIZE = 128
 WORDS = 3
-SMALL = 64
+SMALL, BIG = 64, 4096
+RECALL, LEVELS = 0.997, 4
 SLACK, SURE = 0.1, 0.25
 _BLOCK = 1 << 18
 
@@ -144,6 +151,19 @@ def children(path: np.ndarray, sig: np.ndarray, threshold: float, level: int) ->
     return row, mix64(p[row] + token * np.uint64(_BASE)).view(np.int64)
 
 
+def survival(similarity: float, threshold: float, levels: int) -> float:
+    """Probability that a pair of this similarity shares a node of the last level of a tree."""
+    q = 1.0
+    for _ in range(levels):
+        q = 1 - (1 - min(1.0, 1 / (threshold * SIZE)) * similarity * q) ** SIZE
+    return q
+
+
+def trees_for(recall: float, threshold: float, levels: int) -> int:
+    """Trees that together keep a pair at the threshold with probability ``recall``, even if every node of every level is large."""
+    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - survival(threshold, threshold, levels))))
+
+
 def _roots(trees: int) -> np.ndarray:
     return mix64(np.arange(1, trees + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
 
@@ -265,11 +285,20 @@ def candidate_nodes(sk: DataFrame, trees: int, threshold: float, levels: int) ->
         rows = (sk if now is None else now.join(sk, "vid")).mapInArrow(lambda it, k=level: _branch(it, trees, threshold, k), "path long, vid long")
         counted = cut(rows.withColumn("n", F.count("*").over(Window.partitionBy("path"))).where("n > 1"))
         last = level == levels
-        done = counted.where(F.lit(True) if last else F.col("n") <= SMALL).select("path", "vid")
+        done = counted.where(F.lit(True) if last else F.col("n") <= SMALL).select("path", "vid", "n")
         out = done if out is None else out.unionByName(done)
         now = counted.where(F.col("n") > SMALL).select("path", "vid")
         if last or now.isEmpty():
-            return out
+            return in_blocks(out)
+
+
+def in_blocks(nodes: DataFrame, big: int = BIG) -> DataFrame:
+    """(path, vid): a node of more than ``big`` members becomes one node for every two of its blocks."""
+    m = F.ceil(F.col("n") / big)
+    own, each = F.pmod(F.xxhash64("vid"), m), F.explode(F.sequence(F.lit(0).cast("long"), m - 1))
+    split = nodes.where(F.col("n") > big).select("path", "vid", own.alias("b"), each.alias("c"))
+    split = split.select(F.xxhash64("path", F.least("b", "c"), F.greatest("b", "c")).alias("path"), "vid")
+    return nodes.where(F.col("n") <= big).select("path", "vid").unionByName(split)
 
 
 def _byte(sig: np.ndarray) -> np.ndarray:
@@ -343,7 +372,7 @@ def connected(edges: DataFrame, most: int = 40) -> DataFrame:
     return now.select(F.col("u").alias("vid"), F.col("v").alias("comp")).unionByName(now.select(F.col("v").alias("vid"), F.col("v").alias("comp")).distinct())
 
 
-def groups(docs: DataFrame, threshold: float = 0.5, trees: int = 16, levels: int = 4, words: int = WORDS) -> DataFrame:
+def groups(docs: DataFrame, threshold: float = 0.5, recall: float = RECALL, levels: int = LEVELS, words: int = WORDS) -> DataFrame:
     """(vid, doc_id, keep_id, keep_vid) of each vertex in a group of two or more.
 
     The member with the smallest id (a null id comes last, then the smaller hash) stays.
@@ -352,6 +381,7 @@ def groups(docs: DataFrame, threshold: float = 0.5, trees: int = 16, levels: int
     exact = sk.groupBy("sk").agg(F.min("vid").alias("rep"))
     members = cut(sk.select("vid", "doc_id", "sk").distinct().join(exact, "sk").select("vid", "doc_id", "rep"))
     reps = cut(sk.join(exact.select(F.col("rep").alias("vid")), "vid", "left_semi").dropDuplicates(["vid"]).select("vid", "sig"))
+    trees = trees_for(recall, threshold, levels)
     comp = connected(similar_edges(reps, docs.select(vertex(docs).alias("vid"), F.col("text").alias("text")), trees, threshold, levels, words))
     all_ = members.join(comp.withColumnRenamed("vid", "rep"), "rep", "left").select("vid", "doc_id", F.coalesce("comp", "rep").alias("comp"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("vid"))
@@ -359,7 +389,7 @@ def groups(docs: DataFrame, threshold: float = 0.5, trees: int = 16, levels: int
     return all_.join(best, "comp").select("vid", "doc_id", F.col("best.doc_id").alias("keep_id"), F.col("best.vid").alias("keep_vid"))
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.5, trees: int = 16, levels: int = 4, words: int = WORDS) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = 0.5, recall: float = RECALL, levels: int = LEVELS, words: int = WORDS) -> DataFrame:
     """(doc_id, duplicate_of): every document that goes, with the one of its group that stays.
 
     * null or empty text, or text without letters and digits: no shingles, never a copy
@@ -367,19 +397,21 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.5, trees: int = 16, le
     * rows that repeat an id and its text count once; they leave no row of their own here
     * null ids: such rows may be copies (their ``doc_id`` is null) and stay only if all of
       their group have none; other columns are ignored, whatever their names
+    * very long texts: all of their shingles count, however many
+    * ties: of members with equal ids the smaller hash stays, so the choice is the same each time
     * an empty table gives an empty result
     """
-    got = groups(docs, threshold, trees, levels, words)
+    got = groups(docs, threshold, recall, levels, words)
     return got.where("vid != keep_vid").select("doc_id", F.col("keep_id").alias("duplicate_of"))
 
 
-def keep_one(docs: DataFrame, threshold: float = 0.5, trees: int = 16, levels: int = 4, words: int = WORDS) -> DataFrame:
+def keep_one(docs: DataFrame, threshold: float = 0.5, recall: float = RECALL, levels: int = LEVELS, words: int = WORDS) -> DataFrame:
     """Rows of ``docs``, columns as they are, without all but one document of each group.
 
     Rows that repeat both id and text are one document, of which one row stays; see
     ``near_duplicates`` for the other cases. Texts without words all stay.
     """
-    gone = groups(docs, threshold, trees, levels, words).where("vid != keep_vid").select("vid")
+    gone = groups(docs, threshold, recall, levels, words).where("vid != keep_vid").select("vid")
     key = "__vertex"
     while key in docs.columns:
         key += "_"

@@ -319,7 +319,7 @@ def scores(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
 
     * null and empty texts have no tokens: nll and perplexity are null; null ids are carried
     * repeated rows each give a row; an empty table gives an empty result
-    * other columns are ignored, whatever their names
+    * very long texts are scored whole, window by window; other columns are ignored
     * the model depends on how rows lie in partitions (as do all averages of local steps)
     """
     tokens = cut(tokenized(docs, path))

@@ -94,6 +94,7 @@ def sampled(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None,
     """(doc_id, source, lang, topic, tokens, probability) of the documents that are drawn.
 
     * a null source or language, and a null or empty text's topic, are the value "(none)"
+    * very long texts: all of their words count; cells that tie share one probability
     * texts without words have no tokens and are never drawn
     * repeated rows and ids are drawn together; rows without an id draw by their text
     * an empty table gives an empty result; other columns are ignored, whatever their names

@@ -237,6 +237,17 @@ class Counter:
         self.next[state, self.column[byte]] = to
         self.change[state, self.column[byte]] = change
 
+    def forget(self, state: np.ndarray) -> np.ndarray:
+        """Drops all states but the start and those given; returns the given ones' new numbers."""
+        held, at = np.unique(state, return_inverse=True)
+        keys = [self.keys[i] for i in held.tolist()]
+        self.reset()
+        new = [self.ids.setdefault(k, len(self.ids)) for k in keys]
+        self.keys = list(self.ids)
+        if len(self.keys) > len(self.next):
+            self.next, self.change = np.full((len(self.keys), 32), -1, np.int32), np.zeros((len(self.keys), 32), np.int8)
+        return np.array(new, np.int64)[at]
+
     def count(self, buf: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
         """Tokens of each piece buf[start : start + size], all pieces in lockstep."""
         if len(self.keys) > MOST_STATES:
@@ -246,6 +257,8 @@ class Counter:
         state, total = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
         live = np.searchsorted(-size, -np.arange(1, (size[0] if len(size) else 0) + 1), side="right")
         for j, m in enumerate(live):
+            if len(self.keys) > MOST_STATES:
+                state[:m] = self.forget(state[:m])
             byte = buf[begin[:m] + j]
             while True:
                 col = self.column[byte]
@@ -297,6 +310,7 @@ def token_counts(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
 
     * null and empty texts have 0 tokens; null ids are carried
     * repeated rows each give a row; an empty table gives an empty result
+    * very long texts are read whole, and very long words without a limit
     * strings that look like special tokens are ordinary text
     * other columns are ignored, whatever their names
     """

@@ -101,6 +101,8 @@ def filter_urls(pages: DataFrame, labels: DataFrame, min_support: float = 0.002,
     toxic 1. Labelled pages that repeat a URL count once, as bad if any of them is.
 
     * null or empty URLs have no tokens and are never flagged; null ids are carried
+    * very long URLs: all of their tokens count; rules of equal confidence all stay, unless one
+      holds another
     * null quality or toxic values say nothing; null ids of labels match no page
     * repeated pages each give a row; without labels or rules nothing is flagged
     * an empty table of pages gives an empty result; other columns are ignored

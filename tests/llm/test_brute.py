@@ -2,6 +2,8 @@
 
 import itertools
 import random
+import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -282,3 +284,77 @@ def test_top_k_of_every_20th(spark):
     all_ = {tuple(r) for r in topk.top_k(df, k=7, block=50, groups=3).collect()}
     some = {tuple(r) for r in topk.top_k(df, k=7, query=topk.every_20th(), block=10, groups=5).collect()}
     assert len(all_) == 3500 and some == {r for r in all_ if r[0] % 20 == 0}
+
+
+@pytest.mark.parametrize("page", ["<a " * 200_000, "<p>x" + "<b" * 200_000, "</script " * 100_000, "<svg>" * 50_000 + "</svg>", "<!" * 100_000 + "x>", "<script>" + "</script " * 50_000])
+def test_hostile_pages_take_linear_time(page):
+    began = time.process_time()
+    html_blocks.extract_page(page)
+    assert time.process_time() - began < 3
+
+
+def test_second_pass_by_definition():
+    """All label sequences of up to six blocks, each block decided by looking outwards from it."""
+
+    def decided(labels, i):
+        def look(order):
+            near = False
+            for j in order:
+                if labels[j] in ("good", "bad"):
+                    return labels[j], near
+                near |= labels[j] == "near"
+            return "bad", near
+
+        (left, left_near), (right, right_near) = look(range(i - 1, -1, -1)), look(range(i + 1, len(labels)))
+        if labels[i] in ("good", "bad"):
+            return labels[i]
+        if labels[i] == "near":
+            return "bad" if left == right == "bad" else "good"
+        return left if left == right else "good" if (left_near if left == "bad" else right_near) else "bad"
+
+    for n in range(7):
+        for labels in itertools.product(("good", "bad", "short", "near"), repeat=n):
+            assert html_blocks.second_pass(list(labels)) == [decided(labels, i) for i in range(n)]
+
+
+def test_first_pass_by_definition(spark):
+    """Blocks of the given pages, classed from the published thresholds by plain counting."""
+    for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
+        for text, links, _ in html_blocks.blocks(r.html):
+            words = re.findall(r"\w+", text.lower())
+            share = len([w for w in words if w in html_blocks.STOP_WORDS]) / max(len(words), 1)
+            want = "bad" if links > 0.2 * len(text) or "©" in text else ("bad" if links else "short") if len(text) < 70 else "bad" if share < 0.1 else "near" if share < 0.2 or len(text) <= 200 else "good"
+            assert html_blocks.first_pass(text, links) == want
+
+
+def test_trees_follow_from_the_recall():
+    assert [minhash.trees_for(r, 0.5, 4) for r in (0.5, 0.9, 0.997)] == [2, 7, 16] and minhash.trees_for(0.9, 0.5, 1) == 3
+    rng = np.random.default_rng(12)
+    together = 0
+    for _ in range(300):  # pairs of similarity 0.5, followed through one tree of three levels
+        a = rng.integers(0, 1 << 32, minhash.SIZE, np.uint64).astype(np.uint32)
+        b = np.where(rng.random(minhash.SIZE) < 0.5, a, a + 1)
+        nodes = {int(rng.integers(1 << 62))}
+        for level in (1, 2, 3):
+            paths = np.array(sorted(nodes), np.int64)
+            x, y = (set(minhash.children(paths, np.tile(s, (len(paths), 1)), 0.5, level)[1].tolist()) if len(paths) else set() for s in (a, b))
+            nodes = x & y
+        together += bool(nodes)
+    assert together / 300 == pytest.approx(minhash.survival(0.5, 0.5, 3), abs=0.1)
+
+
+def test_blocks_of_a_large_node_hold_every_pair(spark):
+    rows = [(1, v, 90) for v in range(90)] + [(2, v, 5) for v in range(5)]
+    got = minhash.in_blocks(spark.createDataFrame(rows, "path long, vid long, n long"), 20).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.path, set()).add(r.vid)
+    assert by.pop(2) == set(range(5)) and max(map(len, by.values())) < 70 and len(by) == 15
+    assert {p for m in by.values() for p in itertools.combinations(sorted(m), 2)} == set(itertools.combinations(range(90), 2))
+
+
+def test_states_are_forgotten_without_a_change(monkeypatch, texts):
+    some = pa.array([*texts.values(), "".join(random.Random(1).choice("abcdefghij") for _ in range(5000))])
+    want = token_fst.count_tokens(some).tolist()
+    monkeypatch.setattr(token_fst, "MOST_STATES", 50)
+    assert token_fst.count_tokens(some).tolist() == want

@@ -107,3 +107,33 @@ def test_top_k(spark):
     got = topk.top_k(df, k=2)
     assert sorted(map(tuple, got.collect())) == [(1, 2, 1, 1.0), (1, 3, 2, 0.0), (2, 1, 1, 1.0), (2, 3, 2, 0.0), (3, 1, 1, 0.0), (3, 2, 2, 0.0), (4, 1, 1, 0.0), (4, 2, 2, 0.0)]
     assert topk.top_k(df.where(F.lit(False))).collect() == []
+
+
+def test_pipeline(spark, tmp_path):
+    """Odd rows, an empty table and clashing columns go through all stages; only the last stage's folder stays."""
+    import corpus_pipeline
+
+    bench(spark).drop("doc_id", "end_at").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for name, rows in (("odd", ROWS), ("none", [])):
+        folder = tmp_path / name
+        folder.mkdir()
+        (folder / "benchmark.parquet").symlink_to(tmp_path / "benchmark.parquet")
+        docs(spark, rows).write.parquet(str(folder / "documents.parquet"))
+        got = corpus_pipeline.run(spark, str(folder))
+        assert got.columns == docs(spark).columns
+        assert {r.doc_id for r in got.collect()} <= {5, 8} and (rows or got.isEmpty())
+    stages = [p.name for p in __import__("pathlib").Path(spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:")).glob("pipeline-*/*")]
+    assert set(stages) == {"mix"}
+
+
+def test_known_rows_of_odd_tables(spark):
+    got = langid.keep_known(docs(spark))
+    assert got.columns == docs(spark).columns and sorted(str(r.doc_id) for r in got.collect()) == ["1", "1", "2", "5", "9", "None"]
+    assert langid.keep_known(docs(spark, [])).collect() == []
+
+
+def test_rules_that_tie(spark):
+    """Two tokens that only come together make two rules of equal confidence; neither holds the other."""
+    rows = [(["a", "b"], 1)] * 6 + [(["c"], 0)] * 6
+    got = url_rules.mine(spark.createDataFrame(rows, "items array<string>, bad int"), 0.01, 5, 0.5).collect()
+    assert sorted((r["items"], r["confidence"]) for r in got) == [(["a"], 1.0), (["b"], 1.0)]

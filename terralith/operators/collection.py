@@ -1,10 +1,12 @@
-"""Coverage collections: one cell table (cov_id, band, cx, cy, v) for all images."""
+"""Coverage collections: one tile table (cov_id, band, tx, ty, cells) or cell table (cov_id, band, cx, cy, v) for all images."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import tiles
+
 KEY = ["band", "cx", "cy"]
 
 
@@ -12,7 +14,7 @@ def merge_coverages(coverages: list[DataFrame], names: list[str]) -> DataFrame:
     """One collection of named coverages."""
     if len(coverages) != len(names):
         raise ValueError("coverages and names differ in number")
-    parts = [c.select(F.lit(n).alias("cov_id"), *KEY, "v") for c, n in zip(coverages, names)]
+    parts = [c.select(F.lit(n).alias("cov_id"), *([*tiles.KEY, "cells"] if tiles.tiled(c) else [*KEY, "v"])) for c, n in zip(coverages, names)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -41,6 +43,8 @@ def _reducer(how: str):
 
 def reduce(collection: DataFrame, how: str) -> DataFrame:
     """mean, min, max, sum, median, mode, or, and, count, or cat (first by ``cov_id``) of each cell."""
+    if tiles.tiled(collection):
+        return tiles.reduced(collection, how)
     return collection.where("v is not null").groupBy(*KEY).agg(_reducer(how).alias("v"))
 
 
@@ -48,6 +52,8 @@ def mosaic(collection: DataFrame, how: str = "mean", window: tuple[int, int, int
     """One raster of all images, cut to a window (cx and cy from, cx and cy below)."""
     if window:
         x0, y0, x1, y1 = window
+        if tiles.tiled(collection):
+            return reduce(tiles.cut_box(collection, x0, y0, x1, y1), how)
         collection = collection.where((F.col("cx") >= x0) & (F.col("cx") < x1) & (F.col("cy") >= y0) & (F.col("cy") < y1))
     return reduce(collection, how)
 

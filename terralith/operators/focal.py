@@ -1,6 +1,7 @@
 """Kernels and neighbourhood operators.
 
-Every cell sends its value to the cells whose window holds it, and one aggregation per
+On tiles, halos are exchanged and numpy works on whole windows (see ``tiles``). On cell
+tables, which are for small or sparse rasters, every cell sends its value to the cells whose window holds it, and one aggregation per
 target gathers them: no join and no copy of the raster on the driver. Only cells that the
 raster has get a result. With ``pad="zero"`` missing neighbours count as 0, with "null"
 they don't count.
@@ -10,9 +11,12 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import tiles
+
 Kernel = list[list[float]]
 
 
@@ -144,9 +148,13 @@ def focal(cells: DataFrame, stat: str, radius: int, kernel: str = "square", pad:
     Of equally frequent values ``mode`` is the least. Entropy is of whole parts in bits.
     """
     shape = [(a, b, w) for a, b, w in offsets(square(radius, False) if kernel == "square" else circle(radius)) if w]
-    sent, n = _sent(cells, shape), len(shape)
     if (0, 0) not in {(a, b) for a, b, _ in shape}:
         raise ValueError("the window must hold its centre")
+    if tiles.tiled(cells):
+        if stat not in ("mean", "median", "max", "min", "mode", "sum", "sd", "entropy"):
+            raise ValueError(f"no such statistic: {stat}")
+        return tiles.focal(cells, stat, [(a, b) for a, b, _ in shape], pad == "zero")
+    sent, n = _sent(cells, shape), len(shape)
     group = sent.groupBy("band", "cx", "cy")
     zero = pad == "zero"
     v = F.col("v")
@@ -190,11 +198,16 @@ def focal(cells: DataFrame, stat: str, radius: int, kernel: str = "square", pad:
 def convolve(cells: DataFrame, kernel: Kernel) -> DataFrame:
     """Sum of weight times neighbour; what lies outside counts as 0."""
     at = offsets(kernel)
+    if tiles.tiled(cells):
+        return tiles.convolve(cells, at)
     return _sent(cells, at if any((a, b) == (0, 0) for a, b, _ in at) else [*at, (0, 0, 0.0)]).groupBy("band", "cx", "cy").agg(F.sum(F.col("w") * F.col("v")).alias("v"), _own().alias("own")).where("own = 1").select("band", "cx", "cy", "v")
 
 
 def gradient(cells: DataFrame) -> DataFrame:
     """Length of the pair of Sobel derivatives, in one aggregation."""
+    if tiles.tiled(cells):
+        sides = [[o for o in offsets(sobel(k)) if o[2]] for k in "xy"]
+        return tiles.window3(cells, lambda z: np.hypot(*(sum(w * np.nan_to_num(z(a, b)) for a, b, w in side) for side in sides)))
     x, y = ({(a, b): w for a, b, w in offsets(sobel(k))} for k in "xy")
     weight = lambda t: sum((F.when((F.col("dx") == a) & (F.col("dy") == b), w).otherwise(0.0) for (a, b), w in t.items() if w), F.lit(0.0))
     sent = _sent(cells, [(a, b, 0.0) for a, b in x])
@@ -227,14 +240,30 @@ def _horn(cells: DataFrame, size: float, z_factor: float) -> tuple[DataFrame, Co
     return t, dx, dy
 
 
+def _horn_of(z, size: float, z_factor: float) -> tuple[np.ndarray, np.ndarray]:
+    at = lambda a, b: np.nan_to_num(z(a, b)) * z_factor
+    dx = (at(1, -1) + 2 * at(1, 0) + at(1, 1) - at(-1, -1) - 2 * at(-1, 0) - at(-1, 1)) / (8 * size)
+    dy = (at(-1, 1) + 2 * at(0, 1) + at(1, 1) - at(-1, -1) - 2 * at(0, -1) - at(1, -1)) / (8 * size)
+    return dx, dy
+
+
 def slope(cells: DataFrame, size: float = 1.0, z_factor: float = 1.0) -> DataFrame:
     """Steepness in degrees."""
+    if tiles.tiled(cells):
+        return tiles.window3(cells, lambda z: np.degrees(np.arctan(np.hypot(*_horn_of(z, size, z_factor)))))
     t, dx, dy = _horn(cells, size, z_factor)
     return t.select("band", "cx", "cy", F.degrees(F.atan(F.sqrt(dx * dx + dy * dy))).alias("v"))
 
 
 def aspect(cells: DataFrame, size: float = 1.0) -> DataFrame:
     """Direction of descent in degrees from north, clockwise; rows grow to the south. Flat: -1."""
+    if tiles.tiled(cells):
+
+        def turned(z) -> np.ndarray:
+            dx, dy = _horn_of(z, size, 1.0)
+            return np.where((dx == 0) & (dy == 0), -1.0, np.mod(np.degrees(np.arctan2(-dx, dy)) + 360, 360.0))
+
+        return tiles.window3(cells, turned)
     t, dx, dy = _horn(cells, size, 1.0)
     d = F.degrees(F.atan2(-dx, dy))
     return t.select("band", "cx", "cy", F.when((dx == 0) & (dy == 0), -1.0).otherwise(F.pmod(d + 360, F.lit(360.0))).alias("v"))

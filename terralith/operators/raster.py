@@ -1,8 +1,9 @@
-"""Raster ("coverage") operators over cell tables.
+"""Raster ("coverage") operators over tile tables and cell tables.
 
-A cell table has one row for each cell and band: (band, cx, cy, v), with NULL (or no row)
-as NoData. Further columns, such as ``cov_id`` or ``ts``, are kept where an operator works
-cell by cell. A tile table (band, tx, ty, cells) is the same in arrays; see ``tiles``.
+A tile table (band, tx, ty, cells) has one row for each 256 x 256 cells; see ``tiles``. It is
+the form for rasters of any size. A cell table has one row for each cell and band: (band, cx,
+cy, v), with NULL (or no row) as NoData; every operator takes and returns either form.
+Further columns, such as ``cov_id`` or ``ts``, are kept where an operator works cell by cell.
 Grids of two rasters agree by their cell indices: an inner join on (cx, cy) is the
 intersection of their extents.
 """
@@ -16,12 +17,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import cellmath
+from ..session import checkpointed
+from . import tiles
+from .tiles import cells_of, from_tiles, tiled, to_tiles  # noqa: F401
 
 KEY = ["band", "cx", "cy"]
 
 
 def local(cells: DataFrame, f: Callable[[Column], Column]) -> DataFrame:
     """v -> f(v), cell by cell."""
+    if tiled(cells):
+        return tiles.local(cells, f)
     return cells.withColumn("v", f(F.col("v")))
 
 
@@ -41,6 +47,12 @@ def combine(a: DataFrame, b: DataFrame, f: Callable[[Column, Column], Column], b
     By position, the bands of each side are numbered in alphabetical order and the result
     keeps the names of ``a``.
     """
+    if tiled(a):
+        if by_position:
+            number = F.dense_rank().over(Window.partitionBy("tx", "ty").orderBy("band"))
+            a, b = a.withColumn("i", number), b.withColumn("i", number)
+            return tiles.combine(a.select("i", *tiles.KEY, "cells"), b.select("i", "tx", "ty", "cells"), f, ["i", "tx", "ty"]).select(*tiles.KEY, "cells")
+        return tiles.combine(a.select(*tiles.KEY, "cells"), b, f)
     if by_position:
         number = F.dense_rank().over(Window.partitionBy("cx", "cy").orderBy("band"))
         a, b = a.withColumn("i", number), b.withColumn("i", number).select("i", "cx", "cy", F.col("v").alias("w"))
@@ -55,12 +67,17 @@ def binary(a: DataFrame, b: DataFrame, name: str) -> DataFrame:
 
 def overlay(a: DataFrame, b: DataFrame) -> DataFrame:
     """Cells of either raster; where both have a value, that of ``a``."""
+    if tiled(a):
+        return tiles.overlay(a, b)
     both = a.select(*KEY, F.struct(F.lit(0).alias("o"), "v").alias("s")).unionByName(b.select(*KEY, F.struct(F.lit(1).alias("o"), "v").alias("s")))
     return both.where("s.v is not null").groupBy(*KEY).agg(F.min("s").alias("s")).select(*KEY, F.col("s.v").alias("v"))
 
 
 def normalized_difference(cells: DataFrame, first: str, second: str, name: str = "nd") -> DataFrame:
     """(first - second) / (first + second); one pass, since both bands of a cell are one group."""
+    if tiled(cells):
+        t = tiles.side_by_side(cells, [first, second])
+        return t.select(F.lit(name).alias("band"), "tx", "ty", tiles.zipped(F.col("b0"), F.col("b1"), lambda a, b: (a - b) / F.nullif(a + b, F.lit(0.0))).alias("cells"))
     of = lambda b: F.max(F.when(F.col("band") == b, F.col("v")))
     both = cells.where(F.col("band").isin(first, second)).groupBy("cx", "cy").agg(of(first).alias("a"), of(second).alias("b"))
     return both.where("a is not null and b is not null").select(F.lit(name).alias("band"), "cx", "cy", ((F.col("a") - F.col("b")) / F.nullif(F.col("a") + F.col("b"), F.lit(0.0))).alias("v"))
@@ -75,6 +92,9 @@ def _against(cells: DataFrame, mask: DataFrame) -> DataFrame:
 
 def mask(cells: DataFrame, by: DataFrame, read: float, write: float | None) -> DataFrame:
     """``write`` where the mask equals ``read``, else the value."""
+    if tiled(cells):
+        keys = ["tx", "ty"] if by.agg(F.count_distinct("band")).first()[0] <= 1 else tiles.KEY
+        return tiles.combine(cells.select(*tiles.KEY, "cells"), by, lambda v, m: F.when(m == read, F.lit(write).cast("double")).otherwise(v), keys)
     return _against(cells, by).select(*KEY, F.when(F.col("m") == read, F.lit(write).cast("double")).otherwise(F.col("v")).alias("v"))
 
 
@@ -85,6 +105,8 @@ def update_mask(cells: DataFrame, by: DataFrame) -> DataFrame:
 
 def unmask(cells: DataFrame, by: DataFrame) -> DataFrame:
     """NoData (rows with NULL) filled from the second raster."""
+    if tiled(cells):
+        return tiles.unmask(cells, by)
     other = by.select(*KEY, F.col("v").alias("w"))
     return cells.join(other, KEY, "left").select(*KEY, F.coalesce("v", "w").alias("v"))
 
@@ -103,7 +125,8 @@ def add_bands(dst: DataFrame, src: DataFrame, names: list[str] | None = None, ov
     src = src.where(F.col("band").isin(names)) if names else src
     if overwrite:
         dst = dst.join(src.select("band").distinct(), "band", "left_anti")
-    return dst.select(*KEY, "v").unionByName(src.select(*KEY, "v"))
+    own = [*tiles.KEY, "cells"] if tiled(dst) else [*KEY, "v"]
+    return dst.select(*own).unionByName(src.select(*own))
 
 
 def rename(cells: DataFrame, old: list[str], new: list[str]) -> DataFrame:
@@ -133,30 +156,44 @@ def slice_bands(cells: DataFrame, start: int, end: int) -> DataFrame:
 def into_one(cells: DataFrame, bands: list[str] | None = None, name: str | None = None) -> DataFrame:
     """Mean of the bands in one band, named after the first."""
     got = cells.where(F.col("band").isin(bands)) if bands else cells
+    if tiled(cells):
+        first = F.lit(name or bands[0]) if name or bands else F.min("band")
+        named = got.groupBy("tx", "ty").agg(first.alias("band"))
+        return tiles.reduced(got, "mean_of_present", ["tx", "ty"], "band").join(named, ["tx", "ty"]).select(*tiles.KEY, "cells")
     label = F.lit(name or bands[0]) if name or bands else F.min("band")
     return got.groupBy("cx", "cy").agg(label.alias("band"), F.avg("v").alias("v")).select(*KEY, "v")
 
 
 def stack(cells: DataFrame, n: int) -> DataFrame:
     """One band n times, as B1 to Bn."""
-    return cells.select(F.explode(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.concat(F.lit("B"), i.cast("string")))).alias("band"), "cx", "cy", "v")
+    return cells.select(F.explode(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.concat(F.lit("B"), i.cast("string")))).alias("band"), *[c for c in cells.columns if c != "band"])
 
 
 def percentile_range(cells: DataFrame, low: float, high: float) -> DataFrame:
-    """Values between the places int(n * low) and int(n * high) of the n sorted distinct values."""
-    values = cells.where("v is not null").select("v").distinct()
-    n = values.count()
+    """Values between the places int(n * low) and int(n * high) of the n sorted distinct values.
+
+    The distinct values are ranked once, by a range partitioning and the sizes of its parts,
+    so no task sorts them all.
+    """
+    values = cells_of(cells).where("v is not null").select("v").distinct()
+    parts = checkpointed(values.repartitionByRange("v").withColumn("p", F.spark_partition_id()))
+    sizes = {r["p"]: r["count"] for r in parts.groupBy("p").count().collect()}  # a row a partition
+    n = sum(sizes.values())
     if n == 0:
         return cells
-    ranked = values.orderBy("v").offset(min(int(n * low), n - 1)).limit(1).select(F.col("v").alias("a"))
-    top = values.orderBy("v").offset(min(int(n * high), n - 1)).limit(1).select(F.col("v").alias("b"))
-    got = cells.crossJoin(F.broadcast(ranked)).crossJoin(F.broadcast(top))
-    return got.withColumn("v", F.when((F.col("v") >= F.col("a")) & (F.col("v") <= F.col("b")), F.col("v"))).drop("a", "b")
+    ends, begin = [], {}
+    for p in sorted(sizes):
+        begin[p] = sum(sizes[q] for q in sizes if q < p)
+    for share in (low, high):
+        at = min(int(n * share), n - 1)
+        p = max(q for q in begin if begin[q] <= at)
+        ends.append(parts.where(F.col("p") == p).orderBy("v").offset(at - begin[p]).limit(1).first()["v"])
+    return local(cells, lambda v: F.when((v >= ends[0]) & (v <= ends[1]), v))
 
 
 def histogram(cells: DataFrame) -> DataFrame:
     """(value, n) of the whole parts of all cells."""
-    return cells.where("v is not null").groupBy(F.col("v").cast("int").alias("value")).agg(F.count("*").alias("n"))
+    return cells_of(cells).where("v is not null").groupBy(F.col("v").cast("int").alias("value")).agg(F.count("*").alias("n"))
 
 
 def area(cells: DataFrame, ranges: list[str], resolution: float) -> DataFrame:
@@ -171,7 +208,7 @@ def area(cells: DataFrame, ranges: list[str], resolution: float) -> DataFrame:
             one = one & (v > float(a)) if a else one
             one = one & (v < float(b)) if b else one
         hit = hit | one
-    first = cells.where("v is not null").select(F.col("band"), "v")
+    first = cells_of(cells).where("v is not null").select(F.col("band"), "v")
     name = F.broadcast(first.agg(F.min("band").alias("band")))
     return first.join(name, "band").where(hit).agg((F.count("*") * float(resolution) ** 2).alias("area"))
 
@@ -183,7 +220,11 @@ def resample(cells: DataFrame, factor: int, how: str = "nearest") -> DataFrame:
     ``nearest`` repeats a cell; ``bilinear`` and ``cubic`` weight cells by their distance.
     """
     if factor in (0, 1, -1):
-        return cells.select(*KEY, "v")
+        return cells if tiled(cells) else cells.select(*KEY, "v")
+    if tiled(cells) and factor < 0:
+        return tiles.coarser(cells, -factor, how)
+    if tiled(cells) and how == "nearest":
+        return tiles.finer(cells, factor)
     if factor < 0:
         k = -factor
         block = [F.floor(F.col(c) / k).cast("int").alias(c) for c in ("cx", "cy")]
@@ -202,6 +243,8 @@ def resample(cells: DataFrame, factor: int, how: str = "nearest") -> DataFrame:
             return max(0.0, 1 - t)
         return 1.5 * t**3 - 2.5 * t**2 + 1 if t < 1 else -0.5 * t**3 + 2.5 * t**2 - 4 * t + 2 if t < 2 else 0.0
 
+    if tiled(cells):
+        return tiles.interpolated(cells, factor, reach, weight)
     axis = [(o * factor + k, weight((k + 0.5) / factor - 0.5 + o)) for o in range(-reach, reach + 1) for k in range(factor)]
     offsets = [(dx, dy, wx * wy) for dx, wx in axis for dy, wy in axis if wx * wy]
     lit = F.explode(F.array(*[F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy"), F.lit(w).alias("w")) for a, b, w in offsets])).alias("o")
@@ -214,11 +257,15 @@ def resample(cells: DataFrame, factor: int, how: str = "nearest") -> DataFrame:
 
 def clip_box(cells: DataFrame, xmin: int, ymin: int, xmax: int, ymax: int) -> DataFrame:
     """Cells with index in [xmin, xmax) x [ymin, ymax)."""
+    if tiled(cells):
+        return tiles.cut_box(cells, xmin, ymin, xmax, ymax)
     return cells.where((F.col("cx") >= xmin) & (F.col("cx") < xmax) & (F.col("cy") >= ymin) & (F.col("cy") < ymax))
 
 
 def clip(cells: DataFrame, wkt: str) -> DataFrame:
     """Cells whose centre lies in a polygon of cell coordinates; its box is tested first."""
+    if tiled(cells):
+        return tiles.cut_polygon(cells, wkt)
     from ..functions import geometry as G
 
     g = G.from_wkt(wkt)
@@ -227,29 +274,39 @@ def clip(cells: DataFrame, wkt: str) -> DataFrame:
     return near.where(G.covers_xy(wkt)(F.col("cx") + 0.5, F.col("cy") + 0.5))
 
 
-def rgb_to_hsv(cells: DataFrame, red: str, green: str, blue: str) -> DataFrame:
-    """Bands H (0 to 360), S and V (0 to 1) of three bands of 0 to 255."""
-    of = lambda b: (F.max(F.when(F.col("band") == b, F.col("v"))) / 255.0)
-    t = cells.groupBy("cx", "cy").agg(of(red).alias("r"), of(green).alias("g"), of(blue).alias("b")).where("r is not null and g is not null and b is not null")
-    t = t.withColumn("hi", F.greatest("r", "g", "b")).withColumn("d", F.col("hi") - F.least("r", "g", "b"))
-    r, g, b, hi, d = (F.col(c) for c in ("r", "g", "b", "hi", "d"))
+def _hsv(r: Column, g: Column, b: Column) -> dict[str, Column]:
+    hi = F.greatest(r, g, b)
+    d = hi - F.least(r, g, b)
     turn = F.when(hi == r, (g - b) / d).when(hi == g, (b - r) / d + 2).otherwise((r - g) / d + 4) * 60
     h = F.when(d == 0, 0.0).otherwise(F.when(turn < 0, turn + 360).otherwise(turn))
-    s = F.when(hi == 0, 0.0).otherwise(d / hi)
-    return _long(t, {"H": h, "S": s, "V": hi})
-
+    return {"H": h, "S": F.when(hi == 0, 0.0).otherwise(d / hi), "V": hi}
 
-def hsv_to_rgb(cells: DataFrame, hue: str = "H", saturation: str = "S", value: str = "V") -> DataFrame:
-    """Bands R, G and B of 0 to 255."""
-    of = lambda b: F.max(F.when(F.col("band") == b, F.col("v")))
-    t = cells.groupBy("cx", "cy").agg(of(hue).alias("h"), of(saturation).alias("s"), of(value).alias("w")).where("h is not null and s is not null and w is not null")
-    h, s, w = F.col("h") / 60, F.col("s"), F.col("w")
 
+def _rgb(h: Column, s: Column, w: Column) -> dict[str, Column]:
     def channel(n: int) -> Column:
-        k = F.pmod(F.lit(float(n)) + h, F.lit(6.0))
+        k = F.pmod(F.lit(float(n)) + h / 60, F.lit(6.0))
         return (w - w * s * F.greatest(F.lit(0.0), F.least(k, 4.0 - k, F.lit(1.0)))) * 255
 
-    return _long(t, {"R": channel(5), "G": channel(3), "B": channel(1)})
+    return {"R": channel(5), "G": channel(3), "B": channel(1)}
+
+
+def _three(cells: DataFrame, bands: list[str], f: Callable[..., dict[str, Column]]) -> DataFrame:
+    """Bands computed from three bands, of the cells that have all of them."""
+    if tiled(cells):
+        return tiles.from_bands(tiles.side_by_side(cells, bands), 3, f)
+    of = lambda b: F.max(F.when(F.col("band") == b, F.col("v")))
+    t = cells.groupBy("cx", "cy").agg(*[of(b).alias(n) for n, b in zip("abc", bands)]).where("a is not null and b is not null and c is not null")
+    return _long(t, f(F.col("a"), F.col("b"), F.col("c")))
+
+
+def rgb_to_hsv(cells: DataFrame, red: str, green: str, blue: str) -> DataFrame:
+    """Bands H (0 to 360), S and V (0 to 1) of three bands of 0 to 255."""
+    return _three(cells, [red, green, blue], lambda r, g, b: _hsv(r / 255.0, g / 255.0, b / 255.0))
+
+
+def hsv_to_rgb(cells: DataFrame, hue: str = "H", saturation: str = "S", value: str = "V") -> DataFrame:
+    """Bands R, G and B of 0 to 255."""
+    return _three(cells, [hue, saturation, value], _rgb)
 
 
 def _long(t: DataFrame, bands: dict[str, Column]) -> DataFrame:
@@ -259,7 +316,7 @@ def _long(t: DataFrame, bands: dict[str, Column]) -> DataFrame:
 
 def gain_bias(cells: DataFrame, low: float = 0.0, high: float = 255.0) -> DataFrame:
     """(band, gain, bias) that stretch each band's range to [low, high]."""
-    m = cells.groupBy("band").agg(F.min("v").alias("a"), F.max("v").alias("b"))
+    m = cells_of(cells).groupBy("band").agg(F.min("v").alias("a"), F.max("v").alias("b"))
     gain = F.lit(high - low) / F.nullif(F.col("b") - F.col("a"), F.lit(0.0))
     return m.select("band", F.coalesce(gain, F.lit(0.0)).alias("gain"), (low - F.col("a") * F.coalesce(gain, F.lit(0.0))).alias("bias"))
 
@@ -273,26 +330,34 @@ def add_styles(cells: DataFrame, low: float | None = None, high: float | None =
     if (gain is not None or bias is not None) and (low is not None or high is not None):
         raise ValueError("give gain and bias, or low and high, not both")
     cells = cells.where(F.col("band").isin(bands)) if bands else cells
-    v = F.col("v")
+    shown = lambda unit: F.pow(F.least(F.greatest(unit, F.lit(0.0)), F.lit(1.0)), F.lit(1.0 / gamma))
     if gain is not None or bias is not None:
-        t, unit = cells, (v * float(1 if gain is None else gain) + float(bias or 0)) / 255.0
+        unit = lambda v: shown((v * float(1 if gain is None else gain) + float(bias or 0)) / 255.0)
     elif low is not None:
-        t, unit = cells, (v - float(low)) / (float(high) - float(low))
+        unit = lambda v: shown((v - float(low)) / (float(high) - float(low)))
     else:
-        t = cells.join(F.broadcast(gain_bias(cells, 0.0, 1.0)), "band")
-        unit = v * F.col("gain") + F.col("bias")
-    unit = F.pow(F.least(F.greatest(unit, F.lit(0.0)), F.lit(1.0)), F.lit(1.0 / gamma))
+        own = gain_bias(cells, 0.0, 1.0).withColumnsRenamed({"gain": "__g", "bias": "__b"})
+        cells = cells.join(F.broadcast(own), "band")  # a row a band
+        unit = lambda v: shown(v * F.col("__g") + F.col("__b"))
     if palette:
         n = len(palette)
-        i = F.least(F.floor(unit * n), F.lit(n - 1)).cast("int") + 1
-        t = t.where("v is not null").select("cx", "cy", i.alias("i"))
-        return _long(t, {c: F.element_at(F.array(*[F.lit(float(p[k])) for p in palette]), F.col("i")) for k, c in enumerate("RGB")})
-    return t.select(*KEY, F.floor(1 + 254 * unit).cast("double").alias("v"))
+        place = lambda v: F.least(F.floor(unit(v) * n), F.lit(n - 1)).cast("int") + 1
+        colour = lambda k: lambda v: F.element_at(F.array(*[F.lit(float(p[k])) for p in palette]), place(v))
+        out = None
+        for k, c in enumerate("RGB"):
+            one = local(cells if tiled(cells) else cells.where("v is not null"), colour(k)).withColumn("band", F.lit(c)).drop("__g", "__b")
+            out = one if out is None else out.unionByName(one)
+        return out
+    return local(cells, lambda v: F.floor(1 + 254 * unit(v)).cast("double")).drop("__g", "__b")
 
 
 def factor_detector(dependent: DataFrame, factor: DataFrame) -> DataFrame:
     """(q, n, strata): share of the dependent raster's variance that the factor's classes explain."""
-    both = dependent.select("cx", "cy", "v").join(factor.select("cx", "cy", F.col("v").alias("k")), ["cx", "cy"]).where("v is not null and k is not null")
+    if tiled(dependent):
+        pair = dependent.select("tx", "ty", "cells").join(factor.select("tx", "ty", F.col("cells").alias("k")), ["tx", "ty"])
+        both = pair.select(F.explode(F.arrays_zip("cells", "k")).alias("e")).select(tiles.data(F.col("e.cells")).alias("v"), tiles.data(F.col("e.k")).alias("k")).where("v is not null and k is not null")
+    else:
+        both = dependent.select("cx", "cy", "v").join(factor.select("cx", "cy", F.col("v").alias("k")), ["cx", "cy"]).where("v is not null and k is not null")
     each = both.groupBy("k").agg(F.count("*").alias("n"), F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("ss"))
     within = F.sum(F.col("ss") - F.col("s") * F.col("s") / F.col("n"))
     total = F.sum("ss") - F.sum("s") * F.sum("s") / F.sum("n")
@@ -301,6 +366,7 @@ def factor_detector(dependent: DataFrame, factor: DataFrame) -> DataFrame:
 
 def metadata(cells: DataFrame, crs: str = "EPSG:4326", x0: float = 0.0, y0: float = 0.0, size: float = 1.0) -> DataFrame:
     """(crs, xmin, ymin, xmax, ymax, resolution) of cells of ``size`` whose index 0 begins at (x0, y0)."""
+    cells = cells_of(cells)
     return cells.agg(F.lit(crs).alias("crs"), (x0 + F.min("cx") * size).alias("xmin"), (y0 + F.min("cy") * size).alias("ymin"), (x0 + (F.max("cx") + 1) * size).alias("xmax"), (y0 + (F.max("cy") + 1) * size).alias("ymax"), F.lit(float(size)).alias("resolution"))
 
 
@@ -321,31 +387,17 @@ def extent_to_tiles(extents: DataFrame, z: int) -> DataFrame:
 
 def pyramid(cells: DataFrame, levels: int) -> DataFrame:
     """All levels, each of half the resolution of the one before; level 0 is the raster."""
-    now = cells.select(F.lit(0).alias("level"), *KEY, "v")
-    out = now
+    out, now = cells.select(F.lit(0).alias("level"), "*"), cells
     for k in range(1, levels + 1):
-        now = resample(now, -2, "mean").select(F.lit(k).alias("level"), *KEY, "v")
-        out = out.unionByName(now)
+        now = resample(now, -2, "mean")
+        out = out.unionByName(now.select(F.lit(k).alias("level"), "*"))
     return out
 
 
-def to_tiles(cells: DataFrame, size: int = 256) -> DataFrame:
-    """(band, tx, ty, cells): arrays of size * size values in row order, NULL as NoData."""
-    t = cells.select("band", F.floor(F.col("cx") / size).cast("int").alias("tx"), F.floor(F.col("cy") / size).cast("int").alias("ty"), (F.pmod("cy", F.lit(size)) * size + F.pmod("cx", F.lit(size))).cast("int").alias("i"), "v")
-    m = t.groupBy("band", "tx", "ty").agg(F.map_from_entries(F.collect_list(F.struct("i", "v"))).alias("m"))
-    return m.select("band", "tx", "ty", F.transform(F.sequence(F.lit(0), F.lit(size * size - 1)), lambda i: F.try_element_at("m", i)).alias("cells"))
-
-
-def from_tiles(tiles: DataFrame, size: int = 256) -> DataFrame:
-    """The cell table of a tile table; NoData leaves no row."""
-    t = tiles.select("band", "tx", "ty", F.posexplode("cells").alias("i", "v")).where("v is not null")
-    return t.select("band", (F.col("tx") * size + F.col("i") % size).cast("int").alias("cx"), (F.col("ty") * size + F.floor(F.col("i") / size)).cast("int").alias("cy"), "v")
-
-
 def sample_regions(cells: DataFrame, regions: DataFrame) -> DataFrame:
     """(id, sample, band, cx, cy, v): cells whose centre is in a region's box (id, xmin, ymin, xmax, ymax)."""
     inside = (F.col("cx") + 0.5 >= F.col("xmin")) & (F.col("cx") + 0.5 < F.col("xmax")) & (F.col("cy") + 0.5 >= F.col("ymin")) & (F.col("cy") + 0.5 < F.col("ymax"))
-    got = cells.join(regions, inside)
+    got = tiles.in_regions(cells, regions).where(inside) if tiled(cells) else cells.join(regions, inside)
     return got.withColumn("sample", F.row_number().over(Window.partitionBy("id").orderBy("cy", "cx", "band"))).select("id", "sample", *KEY, "v")
 
 

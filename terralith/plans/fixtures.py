@@ -66,5 +66,21 @@ def boxes(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "nation").select(n.alias("id"), F.col("n_name").alias("name"), x.alias("xmin"), y.alias("ymin"), (x + 72).alias("xmax"), (y + 36).alias("ymax"))
 
 
+TILE = 32  # so that the 64 x 64 test rasters have four tiles a band and halos are exchanged
+
+
+def tiled(cells: DataFrame) -> DataFrame:
+    from ..operators import tiles
+
+    return tiles.to_tiles(cells, TILE)
+
+
+def as_cells(df: DataFrame) -> DataFrame:
+    from ..operators import tiles
+
+    return tiles.cells_of(df)
+
+
 def rounded(df: DataFrame, *cols: str, places: int = 6) -> DataFrame:
+    df = as_cells(df)
     return df.withColumns({c: F.round(c, places) for c in cols or ("v",)})

@@ -6,7 +6,30 @@ from pyspark.sql import functions as F
 
 from ..functions import cellmath
 from ..operators import collection, cube, focal, raster
-from .fixtures import add, coll, dem, r1, r2, rounded, table
+from . import fixtures
+from .fixtures import as_cells, rounded, table, tiled
+
+
+def add(name, f, sql=None, cte=True):
+    """Queries run on tiles; what comes out as tiles is compared as cells."""
+    fixtures.add(name, lambda s, d: as_cells(f(s, d)), sql, cte)
+
+
+def r1(s, d):
+    return tiled(fixtures.r1(s, d))
+
+
+def r2(s, d):
+    return tiled(fixtures.r2(s, d))
+
+
+def coll(s, d):
+    return tiled(fixtures.coll(s, d))
+
+
+def dem(s):
+    return tiled(fixtures.dem(s))
+
 
 _KEY = "band, cx, cy"
 _UNARY = {**{n: f"{n}(x)" for n in ("sin", "cos", "tan", "sinh", "cosh", "tanh", "atan", "log10", "sqrt", "cbrt", "abs", "ceil", "floor")}, "asin": "asin(x / 100)", "acos": "acos(x / 100)", "log": "ln(x)", "signum": "sign(x)", "round": "floor(x + 0.5)", "not": "(x = 0)::DOUBLE", "remove_zero": "CASE WHEN x <> 0 THEN x END", "bitwise_not": "(~ (v::BIGINT))::DOUBLE"}
@@ -72,7 +95,7 @@ add("ras_geo_detector", lambda s, d: rounded(raster.factor_detector(raster.selec
 add("ras_metadata", lambda s, d: raster.metadata(r1(s, d), "EPSG:3857", 100.0, 200.0, 10.0), "SELECT 'EPSG:3857' AS crs, 100.0 + min(cx) * 10 AS xmin, 200.0 + min(cy) * 10 AS ymin, 100.0 + (max(cx) + 1) * 10 AS xmax, 200.0 + (max(cy) + 1) * 10 AS ymax, 10.0 AS resolution FROM r")
 add("ras_pyramid", lambda s, d: rounded(raster.pyramid(dem(s), 2)), """, one AS (SELECT band, (cx // 2)::INT AS cx, (cy // 2)::INT AS cy, avg(v) AS v FROM dem GROUP BY 1, 2, 3) SELECT 0 AS level, band, cx, cy, v FROM dem UNION ALL SELECT 1, band, cx, cy, round(v, 6) FROM one
     UNION ALL SELECT 2, band, (cx // 2)::INT, (cy // 2)::INT, round(avg(v), 6) FROM one GROUP BY 2, 3, 4""")
-add("ras_tiles_round_trip", lambda s, d: raster.from_tiles(raster.to_tiles(r1(s, d), 16), 16), f"SELECT {_KEY}, v FROM r")
+add("ras_tiles_round_trip", lambda s, d: raster.from_tiles(raster.to_tiles(fixtures.r1(s, d), 16)), f"SELECT {_KEY}, v FROM r")
 add("ras_date", lambda s, d: table(s, d, "events").select("event_id", raster.as_date(F.unix_seconds(F.col("ts").cast("timestamp"))).alias("day")), "SELECT event_id, strftime(ts, '%Y-%m-%d') AS day FROM events", cte=False)
 add("ras_sample_regions", lambda s, d: raster.sample_regions(raster.select_bands(r1(s, d), ["A"]), s.createDataFrame([(1, 0.0, 0.0, 5.0, 5.0), (2, 3.0, 3.0, 9.0, 6.0)], "id int, xmin double, ymin double, xmax double, ymax double")), """, g(id, xmin, ymin, xmax, ymax) AS (VALUES (1, 0, 0, 5, 5), (2, 3, 3, 9, 6))
     SELECT id, (row_number() OVER (PARTITION BY id ORDER BY cy, cx, band))::INT AS sample, band, cx, cy, v FROM r JOIN g ON cx + 0.5 >= xmin AND cx + 0.5 < xmax AND cy + 0.5 >= ymin AND cy + 0.5 < ymax WHERE band = 'A'""")
@@ -116,7 +139,7 @@ add("ras_catalog_filters", lambda s, d: collection.all_of(collection.equals("pro
 
 def _cube(s, d, shift=0):
     t = table(s, d, "lineitem")
-    return t.groupBy(F.lit("p").alias("product"), F.col("l_linestatus").alias("platform"), F.trunc("l_shipdate", "year").cast("timestamp").alias("ts"), F.col("l_returnflag").alias("band"), ((F.col("l_partkey") + shift) % 16).cast("int").alias("cx"), (F.col("l_orderkey") % 16).cast("int").alias("cy")).agg(F.sum("l_quantity").alias("v"))
+    return tiled(t.groupBy(F.lit("p").alias("product"), F.col("l_linestatus").alias("platform"), F.trunc("l_shipdate", "year").cast("timestamp").alias("ts"), F.col("l_returnflag").alias("band"), ((F.col("l_partkey") + shift) % 16).cast("int").alias("cx"), (F.col("l_orderkey") % 16).cast("int").alias("cy")).agg(F.sum("l_quantity").alias("v")))
 
 
 def _cube_sql(shift=0):

@@ -41,6 +41,12 @@ def constant(cells: DataFrame, name: str, c: float) -> DataFrame:
     return local(cells, lambda v: cellmath.CONSTANT[name](v, c))
 
 
+def _numbered(cells: DataFrame) -> DataFrame:
+    """Adds ``i``, the number of each band in alphabetical order; bands are few, and counted over the whole raster."""
+    n = cells.select("band").distinct().withColumn("i", F.row_number().over(Window.orderBy("band")))
+    return cells.join(n, "band")
+
+
 def combine(a: DataFrame, b: DataFrame, f: Callable[[Column, Column], Column], by_position: bool = False) -> DataFrame:
     """f(a, b) of the cells that both have, bands matched by name, or by their order.
 
@@ -49,13 +55,11 @@ def combine(a: DataFrame, b: DataFrame, f: Callable[[Column, Column], Column], b
     """
     if tiled(a):
         if by_position:
-            number = F.dense_rank().over(Window.partitionBy("tx", "ty").orderBy("band"))
-            a, b = a.withColumn("i", number), b.withColumn("i", number)
+            a, b = _numbered(a), _numbered(b)
             return tiles.combine(a.select("i", *tiles.KEY, "cells"), b.select("i", "tx", "ty", "cells"), f, ["i", "tx", "ty"]).select(*tiles.KEY, "cells")
         return tiles.combine(a.select(*tiles.KEY, "cells"), b, f)
     if by_position:
-        number = F.dense_rank().over(Window.partitionBy("cx", "cy").orderBy("band"))
-        a, b = a.withColumn("i", number), b.withColumn("i", number).select("i", "cx", "cy", F.col("v").alias("w"))
+        a, b = _numbered(a), _numbered(b).select("i", "cx", "cy", F.col("v").alias("w"))
         return a.join(b, ["i", "cx", "cy"]).select(*KEY, f(F.col("v"), F.col("w")).alias("v"))
     b = b.select(*KEY, F.col("v").alias("w"))
     return a.select(*KEY, "v").join(b, KEY).select(*KEY, f(F.col("v"), F.col("w")).alias("v"))
@@ -156,12 +160,14 @@ def slice_bands(cells: DataFrame, start: int, end: int) -> DataFrame:
 def into_one(cells: DataFrame, bands: list[str] | None = None, name: str | None = None) -> DataFrame:
     """Mean of the bands in one band, named after the first."""
     got = cells.where(F.col("band").isin(bands)) if bands else cells
+    if name or bands:
+        named = lambda t: t.withColumn("band", F.lit(name or bands[0]))
+    else:
+        first = cells.agg(F.min("band").alias("band"))
+        named = lambda t: t.crossJoin(F.broadcast(first))  # noqa: E731  # one row
     if tiled(cells):
-        first = F.lit(name or bands[0]) if name or bands else F.min("band")
-        named = got.groupBy("tx", "ty").agg(first.alias("band"))
-        return tiles.reduced(got, "mean_of_present", ["tx", "ty"], "band").join(named, ["tx", "ty"]).select(*tiles.KEY, "cells")
-    label = F.lit(name or bands[0]) if name or bands else F.min("band")
-    return got.groupBy("cx", "cy").agg(label.alias("band"), F.avg("v").alias("v")).select(*KEY, "v")
+        return named(tiles.reduced(got, "mean_of_present", ["tx", "ty"], "band")).select(*tiles.KEY, "cells")
+    return named(got.groupBy("cx", "cy").agg(F.avg("v").alias("v"))).select(*KEY, "v")
 
 
 def stack(cells: DataFrame, n: int) -> DataFrame:

@@ -23,7 +23,7 @@ def test_every_sql_has_a_query():
     assert set(SQL) <= set(QUERIES)
 
 
-SLOW = {"ter_fill_pits", "ter_pit_routes", "reg_mgwr"}  # iterative, half a minute or more each
+SLOW = {"reg_mgwr"}  # iterative, half a minute or more
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - SLOW))

@@ -298,3 +298,14 @@ def to_array(df: DataFrame, names: list[str]) -> DataFrame:
 
 def to_dictionary(df: DataFrame, names: list[str] | None = None) -> DataFrame:
     return df.select("id", (F.map_filter("props", lambda k, v: k.isin(names)) if names else F.col("props")).alias("value"))
+
+
+def reproject(df: DataFrame, source: str, target: str, geom: str = "geom") -> DataFrame:
+    """Geometries in another reference system."""
+    from ..functions import geometry as G
+
+    return df.withColumn(geom, G.shape("reproject", source, target)(geom))
+
+
+def set_geometry(df: DataFrame, wkt: str, geom: str = "geom") -> DataFrame:
+    return df.withColumn(geom, F.lit(wkt))

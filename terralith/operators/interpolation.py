@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from .spatial import knn
+from .spatial import distance_join, knn
 
 
 def grid(points: DataFrame, cols: int, rows: int) -> DataFrame:
@@ -32,8 +32,8 @@ def nearest(points: DataFrame, value: str, cols: int = 20, rows: int = 20) -> Da
     return g.join(hit, g["id"] == hit["qid"]).join(points.select(F.col("id").alias("pid"), F.col(value).cast("double").alias("v")), "pid").select("cx", "cy", "v")
 
 
-def idw(points: DataFrame, value: str, cols: int = 20, rows: int = 20, power: float = 2.0, k: int | None = None, mask: str | None = None, default: float | None = None) -> DataFrame:
-    """(cx, cy, v): mean weighted by 1 / distance^power of all points, or of the k nearest.
+def idw(points: DataFrame, value: str, cols: int = 20, rows: int = 20, power: float = 2.0, k: int | None = None, mask: str | None = None, default: float | None = None, radius: float | None = None) -> DataFrame:
+    """(cx, cy, v): mean weighted by 1 / distance^power of all points, of the k nearest, or of those within a radius.
 
     At a point's own place its value is taken. Outside of a mask polygon there are no
     cells; negative results become ``default`` if one is given.
@@ -41,16 +41,48 @@ def idw(points: DataFrame, value: str, cols: int = 20, rows: int = 20, power: fl
     g = grid(points, cols, rows)
     g = g.where(G.covers_xy(mask)("x", "y")) if mask else g
     v = points.select(F.col("id").alias("pid"), F.col("x").alias("px"), F.col("y").alias("py"), F.col(value).cast("double").alias("pv")).where("pv is not null")
-    if k:
-        near = knn(g, points, k).select("qid", F.col("id").alias("pid"), "dist")
-        t = g.join(near, g["id"] == near["qid"]).join(v, "pid")
-    else:
-        t = g.crossJoin(v).withColumn("dist", F.sqrt((F.col("x") - F.col("px")) ** 2 + (F.col("y") - F.col("py")) ** 2))
     w = F.when(F.col("dist") > 0, 1 / F.pow("dist", F.lit(power)))
-    out = t.groupBy("cx", "cy").agg(F.coalesce(F.avg(F.when(F.col("dist") == 0, F.col("pv"))), F.sum(w * F.col("pv")) / F.sum(w)).alias("v"))
+    mean = F.coalesce(F.avg(F.when(F.col("dist") == 0, F.col("pv"))), F.sum(w * F.col("pv")) / F.sum(w))
+    if k or radius:
+        if k:
+            near = knn(g, points.where(F.col(value).isNotNull()), k).select("qid", F.col("id").alias("pid"), "dist")
+        else:
+            near = distance_join(g.select("id", "x", "y"), points.where(F.col(value).isNotNull()).select("id", "x", "y"), float(radius), "less_equal").select(F.col("a.id").alias("qid"), F.col("b.id").alias("pid"), "dist")
+        out = g.join(near, g["id"] == near["qid"]).join(v, "pid").groupBy("cx", "cy").agg(mean.alias("v"))
+    else:
+        out = _all_points(points.sparkSession, g, v, power)
     return out if default is None else out.withColumn("v", F.when(F.col("v") < 0, default).otherwise(F.col("v")))
 
 
+def _all_points(spark, g: DataFrame, v: DataFrame, power: float) -> DataFrame:
+    """Every point weighs on every cell. The cells, whose number the caller sets, go to all tasks; each task sums
+    its own points for each cell, so what is shuffled is a row a cell and task and not a row a pair."""
+    at = g.select("cx", "cy", "x", "y").toPandas()
+    cells = spark.sparkContext.broadcast((at.cx.to_numpy(np.int32), at.cy.to_numpy(np.int32), at.x.to_numpy(), at.y.to_numpy()))
+
+    def run(batches):
+        cx, cy, x, y = cells.value
+        top, bottom, here, hits = np.zeros((4, len(x)))
+        some = False
+        for b in batches:
+            px, py, pv = (b.column(c).to_numpy() for c in ("px", "py", "pv"))
+            for a in range(0, len(px), 256):
+                d = np.hypot(x[:, None] - px[a : a + 256], y[:, None] - py[a : a + 256])
+                on = d == 0
+                w = np.where(on, 0.0, np.where(on, 1.0, d) ** -power)
+                top += w @ pv[a : a + 256]
+                bottom += w.sum(1)
+                here += on @ pv[a : a + 256]
+                hits += on.sum(1)
+                some = True
+        if some:
+            yield pa.RecordBatch.from_arrays([pa.array(cx), pa.array(cy), pa.array(top), pa.array(bottom), pa.array(here), pa.array(hits)], ["cx", "cy", "top", "bottom", "here", "hits"])
+
+    part = v.mapInArrow(run, "cx int, cy int, top double, bottom double, here double, hits double")
+    whole = F.when(F.sum("hits") > 0, F.sum("here") / F.sum("hits")).otherwise(F.sum("top") / F.sum("bottom"))
+    return part.groupBy("cx", "cy").agg(whole.alias("v"))
+
+
 def _solved(points: DataFrame, value: str, cols: int, rows: int, solve, evaluate, columns: str = "v double") -> DataFrame:
     """One task solves from all points; the cells join its state and are evaluated in batches."""
     import pickle
@@ -64,19 +96,22 @@ def _solved(points: DataFrame, value: str, cols: int, rows: int, solve, evaluate
 
     state = rows_.groupBy().applyInArrow(one, "state binary")
 
-    def run(batches):
-        held = None
-        for b in batches:
-            if not b.num_rows:
-                continue
-            if held is None:
-                held = pickle.loads(b.column("state")[0].as_py())
-            got = evaluate(held, b.column("x").to_numpy(), b.column("y").to_numpy())
-            got = got if isinstance(got, tuple) else (got,)
-            names = ["cx", "cy", *(c.split()[0] for c in columns.split(", "))]
-            yield pa.RecordBatch.from_arrays([b.column("cx"), b.column("cy"), *map(pa.array, got)], names)
+    names = ["cx", "cy", *(c.split()[0] for c in columns.split(", "))]
+
+    def run(mine: pa.Table, given: pa.Table) -> pa.Table:
+        if not mine.num_rows or not given.num_rows:
+            return pa.table({n: pa.array([], pa.int32() if n in ("cx", "cy") else pa.float64()) for n in names})
+        held, out = pickle.loads(given["state"][0].as_py()), []
+        x, y = mine["x"].to_numpy(), mine["y"].to_numpy()
+        for a in range(0, len(x), 4096):
+            got = evaluate(held, x[a : a + 4096], y[a : a + 4096])
+            out.append(got if isinstance(got, tuple) else (got,))
+        return pa.table(dict(zip(names, [mine["cx"], mine["cy"], *(np.concatenate(c) for c in zip(*out))])))
 
-    return grid(points, cols, rows).crossJoin(F.broadcast(state)).select("cx", "cy", "x", "y", "state").mapInArrow(run, f"cx int, cy int, {columns}")
+    parts = max(1, min(32, cols * rows // 4096 + 1))  # tasks; each gets the state once
+    g = grid(points, cols, rows).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)))
+    each = state.select("state", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"))
+    return g.groupBy("part").cogroup(each.groupBy("part")).applyInArrow(run, f"cx int, cy int, {columns}")
 
 
 def linear(points: DataFrame, value: str, cols: int = 20, rows: int = 20) -> DataFrame:
@@ -212,3 +247,37 @@ def kriging(points: DataFrame, value: str, cols: int = 20, rows: int = 20, model
         return w[:, :-1] @ v, (w * b).sum(1)
 
     return _solved(points, value, cols, rows, solve, evaluate, "v double, variance double")
+
+
+def local_kriging(points: DataFrame, value: str, cols: int = 20, rows: int = 20, model: str = "Sph", nugget: float = 0.0, sill: float = 1.0, reach: float = 1.0, k: int = 16) -> DataFrame:
+    """(cx, cy, v, variance): ordinary kriging from each cell's k nearest points, with a given variogram.
+
+    A cell's system has k + 1 unknowns, whatever the number of points; cells are solved in
+    Arrow batches. With k as large as the number of points it is ``kriging``.
+    """
+    p = points.select("id", "x", "y", F.col(value).cast("double").alias("v")).dropna()
+    g = grid(points, cols, rows)
+    near = knn(g, p, k).select(F.col("qid").alias("cell"), F.col("id").alias("pid"), "rank")
+    sets = near.join(p.select(F.col("id").alias("pid"), "x", "y", "v"), "pid").groupBy("cell").agg(F.array_sort(F.collect_list(F.struct("rank", "x", "y", "v"))).alias("n"))
+    at = g.join(sets, g["id"] == sets["cell"]).select("cx", "cy", "x", "y", "n")
+    f = variogram(model, nugget, sill, reach)
+
+    @F.arrow_udf("struct<v: double, variance: double>")
+    def solve(x: pa.Array, y: pa.Array, n: pa.Array) -> pa.Array:
+        flat, sizes = n.flatten(), np.diff(n.offsets.to_numpy())
+        px, py, pv = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("x", "y", "v"))
+        gx, gy, begin = x.to_numpy(), y.to_numpy(), np.concatenate([[0], np.cumsum(sizes)])
+        value_, variance = np.zeros(len(gx)), np.zeros(len(gx))
+        for m in np.unique(sizes):
+            i = np.flatnonzero(sizes == m)
+            j = begin[i][:, None] + np.arange(m)
+            a = np.ones((len(i), m + 1, m + 1))
+            a[:, :m, :m] = f(np.hypot(px[j][:, :, None] - px[j][:, None, :], py[j][:, :, None] - py[j][:, None, :]))
+            a[:, m, m] = 0
+            b = np.ones((len(i), m + 1))
+            b[:, :m] = f(np.hypot(gx[i][:, None] - px[j], gy[i][:, None] - py[j]))
+            w = (np.linalg.pinv(a) @ b[:, :, None])[:, :, 0]
+            value_[i], variance[i] = (w[:, :m] * pv[j]).sum(1), (w * b).sum(1)
+        return pa.StructArray.from_arrays([pa.array(value_), pa.array(variance)], ["v", "variance"])
+
+    return at.select("cx", "cy", solve("x", "y", "n").alias("s")).select("cx", "cy", "s.v", "s.variance")

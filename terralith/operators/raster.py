@@ -410,3 +410,36 @@ def sample_regions(cells: DataFrame, regions: DataFrame) -> DataFrame:
 def as_date(seconds: Column) -> Column:
     """Date text of seconds since 1970."""
     return F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd")
+
+
+def reproject(cells: DataFrame, source: tuple[str, float, float, float], target: tuple[str, float, float, float], how: str = "nearest") -> DataFrame:
+    """The raster on another grid (crs, left, top, cell size); see ``tiles.warped``."""
+    return tiles.warped(cells, source, target, how) if tiled(cells) else from_tiles(tiles.warped(to_tiles(cells), source, target, how))
+
+
+def aligned(a: DataFrame, b: DataFrame, grid_a: tuple[str, float, float, float], grid_b: tuple[str, float, float, float]) -> tuple[DataFrame, DataFrame, tuple[str, float, float, float]]:
+    """Both rasters on one grid, the finer one's: the coarser is resampled, to the other's system if they differ.
+
+    Cell sizes are compared in the first raster's units at its own corner; binary operators
+    then meet in the extents' intersection.
+    """
+    from ..functions import crs
+
+    x, y = grid_b[1], grid_b[2]
+    u, v = crs.transform([x, x + grid_b[3]], [y, y], grid_b[0], grid_a[0])
+    size_b = float(((u[1] - u[0]) ** 2 + (v[1] - v[0]) ** 2) ** 0.5)
+    if size_b < grid_a[3] * (1 - 1e-9):
+        return reproject(a, grid_a, grid_b), b, grid_b
+    same = tuple(grid_a) == tuple(grid_b)
+    return a, b if same else reproject(b, grid_b, grid_a), grid_a
+
+
+def band_types(cells: DataFrame) -> DataFrame:
+    """(band, kind): the smallest cell type that holds a band's values: int8 to int32, float or double."""
+    v = F.col("v")
+    t = cells_of(cells).where("v is not null").groupBy("band").agg(F.min("v").alias("a"), F.max("v").alias("b"), F.bool_and(v == F.floor(v)).alias("whole"), F.bool_and(v.cast("float").cast("double") == v).alias("single"))
+    kind = F.when(F.col("single"), "float").otherwise("double")
+    for name in reversed(("int8", "uint8", "int16", "uint16", "int32")):
+        low, high, _, none = cellmath.CELL_TYPES[name]
+        kind = F.when(F.col("whole") & (F.col("a") >= low + (none == low)) & (F.col("b") <= high) & ((F.col("a") > none) | (F.col("b") < none) | F.lit(none not in (0,))), name).otherwise(kind)
+    return t.select("band", kind.alias("kind"))

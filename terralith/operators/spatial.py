@@ -29,6 +29,28 @@ def with_bounds(df: DataFrame, geom: str = "geom") -> DataFrame:
     return df.withColumn("__b", box(geom)).select(*df.columns, "__b.*")
 
 
+def cell_size(df: DataFrame) -> float:
+    """A grid cell's edge for boxes (xmin to ymax): the larger of their 90th percentile edge and the edge at which
+    the cells over their extent are as many as the boxes, so that neither a box nor a cell holds many of the other."""
+    edge = F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin"))
+    r = df.agg(F.percentile_approx(edge, 0.9), F.count("*"), F.max("xmax") - F.min("xmin"), F.max("ymax") - F.min("ymin")).first()
+    if not r[1]:
+        return 1.0
+    return float(max(r[0] or 0.0, math.sqrt((r[2] or 0.0) * (r[3] or 0.0) / r[1]))) or 1.0
+
+
+def delaunay_cells(points: DataFrame) -> DataFrame:
+    """(triangle, geom): Delaunay triangles of the distinct points; the triangulation is one task's."""
+    p = points.select("x", "y").dropna().distinct()
+
+    def make(t: pa.Table) -> pa.Table:
+        ps = sorted(zip(t["x"].to_pylist(), t["y"].to_pylist()))
+        tri = sorted(tuple(sorted(v)) for v in G.delaunay(ps)) if len(ps) > 2 else []
+        return pa.table({"triangle": pa.array(range(len(tri)), pa.int32()), "geom": pa.array([G.to_wkt(("Polygon", [[ps[a], ps[b], ps[c], ps[a]]])) for a, b, c in tri], pa.string())})
+
+    return p.groupBy().applyInArrow(make, "triangle int, geom string")
+
+
 def _cells(df: DataFrame, cell: float, grow: float = 0.0) -> DataFrame:
     span = lambda lo, hi: F.sequence(F.floor((F.col(lo) - grow) / cell), F.floor((F.col(hi) + grow) / cell))
     return df.withColumn("gx", F.explode(span("xmin", "xmax"))).withColumn("gy", F.explode(span("ymin", "ymax")))

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import checkpointed
+from ..functions import distributions as D
+from ..session import checkpointed, numbered, running
 from .spatial import distance_join, join, knn
 
 
@@ -19,7 +20,8 @@ def two_sided(z: Column) -> Column:
 
     @F.arrow_udf("double")
     def f(a: pa.Array) -> pa.Array:
-        return pa.array([None if v is None else math.erfc(abs(v) / math.sqrt(2)) for v in a.to_pylist()], pa.float64())
+        v = a.to_numpy(zero_copy_only=False).astype(float)
+        return pa.array(D.normal_two_sided(v), mask=np.isnan(v))
 
     return f(z)
 
@@ -83,8 +85,8 @@ def correlation(df: DataFrame, names: list[str], method: str = "pearson") -> Dat
     t = df.dropna(subset=names).select(*names)
     if method == "spearman":
         for n in names:
-            first, same = F.rank().over(Window.orderBy(n)), F.count("*").over(Window.partitionBy(n))
-            t = t.withColumn(n, first + (same - 1) / 2)
+            ranks = running(t.groupBy(n).agg(F.count("*").alias("__c")), n, amount="__c", name="__to")
+            t = t.join(ranks.select(n, (F.col("__to") - (F.col("__c") - 1) / 2).alias("__r")), n).drop(n).withColumnRenamed("__r", n)
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
     return t.agg(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(a, b).alias("r")) for a, b in pairs]).alias("x")).select(F.explode("x").alias("x")).select("x.*")
 
@@ -223,7 +225,7 @@ def acf(series: DataFrame, value: str, order: str, lags: int = 20) -> DataFrame:
     """(lag, acf) for 0 to ``lags`` of a series in the order of a column."""
     if lags <= 0:
         raise ValueError("need a positive lag")
-    t = series.select(F.row_number().over(Window.orderBy(order)).alias("t"), F.col(value).cast("double").alias("v"))
+    t = numbered(series.select(F.col(order).alias("o"), F.col(value).cast("double").alias("v")), "o", "v", name="t").select("t", "v")
     m = t.agg(F.avg("v").alias("m"))
     t = checkpointed(t.crossJoin(F.broadcast(m)).select("t", (F.col("v") - F.col("m")).alias("z")))
     k = F.explode(F.sequence(F.lit(0), F.lit(lags))).alias("lag")
@@ -247,7 +249,7 @@ def random_sampling(df: DataFrame, n: int = 10, seed: int = 0, replace: bool = F
     if not total:
         return df
     picks = np.random.default_rng(seed).integers(1, total + 1, n)
-    t = df.withColumn("__r", F.row_number().over(Window.orderBy(_draw(key, seed), key)))
+    t = numbered(df.withColumn("__d", _draw(key, seed)), "__d", key, name="__r").drop("__d")
     return t.join(F.broadcast(df.sparkSession.createDataFrame([(int(p),) for p in picks], "__r long")), "__r").drop("__r")
 
 
@@ -268,7 +270,7 @@ def stratified_sampling(df: DataFrame, stratum: str, n: int = 10, seed: int = 0,
 
 def continuous_sampling(df: DataFrame, gap: int, key: str = "id") -> DataFrame:
     """Every gap-th row in the key's order, from the first."""
-    return df.withColumn("__r", F.row_number().over(Window.orderBy(key))).where((F.col("__r") - 1) % gap == 0).drop("__r")
+    return numbered(df, key, name="__r").where((F.col("__r") - 1) % gap == 0).drop("__r")
 
 
 def sandwich(df: DataFrame, y: str, knowledge: str, reporting: str) -> DataFrame:
@@ -330,3 +332,39 @@ def risk_detector(df: DataFrame, y: str, x: str) -> DataFrame:
     return t.select(F.col("s1").alias("stratum1"), F.col("s2").alias("stratum2"), F.col("m1").alias("mean1"), F.col("m2").alias("mean2"), ((F.col("m1") - F.col("m2")) / F.sqrt(u + w)).alias("t"), ((u + w) ** 2 / (u * u / (F.col("n1") - 1) + w * w / (F.col("n2") - 1))).alias("df"))
 
 
+
+
+def factor_test(df: DataFrame, y: str, xs: list[str]) -> DataFrame:
+    """(x, q, f, lambda, p): factor detector with the test of q by the non-central F distribution."""
+
+    @F.arrow_udf("double")
+    def tail(f: pa.Array, a: pa.Array, b: pa.Array, lam: pa.Array) -> pa.Array:
+        return pa.array([None if None in v else D.noncentral_f_sf(*v) for v in zip(*(c.to_pylist() for c in (f, a, b, lam)))], pa.float64())
+
+    out = None
+    for x in xs:
+        each = df.where(F.col(x).isNotNull()).groupBy(x).agg(F.count(y).cast("double").alias("n"), F.avg(y).alias("m"), F.var_pop(y).alias("v"))
+        n, m = F.sum("n"), F.sum(F.col("n") * F.col("m"))
+        total = (F.sum(F.col("n") * (F.col("v") + F.col("m") ** 2)) - m * m / n) / n
+        t = each.agg(F.count("*").cast("double").alias("l"), n.alias("n"), (1 - F.sum(F.col("n") * F.col("v")) / (n * total)).alias("q"), ((F.sum(F.col("m") ** 2) - F.sum(F.sqrt("n") * F.col("m")) ** 2 / n) / (total * n / (n - 1))).alias("lambda"))
+        one = t.select(F.lit(x).alias("x"), "q", ((F.col("n") - F.col("l")) / (F.col("l") - 1) * F.col("q") / (1 - F.col("q"))).alias("f"), "lambda", (F.col("l") - 1).alias("a"), (F.col("n") - F.col("l")).alias("b"))
+        out = one if out is None else out.unionByName(one)
+    return out.withColumn("p", tail("f", "a", "b", F.greatest("lambda", F.lit(0.0)))).select("x", "q", "f", "lambda", "p")
+
+
+def ecological_test(df: DataFrame, y: str, xs: list[str]) -> DataFrame:
+    """(x1, x2, f, p): whether the within-strata variances of each pair of factors differ, by an F test."""
+
+    @F.arrow_udf("double")
+    def tail(f: pa.Array, n: pa.Array) -> pa.Array:
+        return pa.array([None if a is None else D.f_sf(a, b - 1, b - 1) for a, b in zip(f.to_pylist(), n.to_pylist())], pa.float64())
+
+    one = None
+    for x in xs:
+        ssw = df.groupBy(x).agg((F.count(y) * F.var_pop(y)).alias("s")).agg(F.sum("s").alias("s")).select(F.lit(x).alias("x"), "s")
+        one = ssw if one is None else one.unionByName(ssw)
+    a, b = (checkpointed(one).select(F.col("x").alias(f"x{k}"), F.col("s").alias(f"s{k}")) for k in (1, 2))
+    n = df.agg(F.count(y).cast("double").alias("n"))
+    pairs = a.join(b, F.col("x1") < F.col("x2")).crossJoin(F.broadcast(n))  # pairs of factors, and one row
+    f = F.greatest("s1", "s2") / F.nullif(F.least("s1", "s2"), F.lit(0.0))
+    return pairs.select("x1", "x2", f.alias("f"), tail(f, "n").alias("p"))

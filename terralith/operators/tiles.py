@@ -453,3 +453,75 @@ def in_regions(tiles: DataFrame, regions: DataFrame) -> DataFrame:
     span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / F.col("s")).cast("int"), F.floor(F.col(hi) / F.col("s")).cast("int"))
     at = wide.withColumn("tx", F.explode(span("xmin", "xmax"))).withColumn("ty", F.explode(span("ymin", "ymax"))).drop("s")
     return from_tiles(tiles.join(at, ["tx", "ty"]))
+
+
+# --- reference systems ---
+
+
+def warped(tiles: DataFrame, source: tuple[str, float, float, float], target: tuple[str, float, float, float], how: str = "nearest", size: int = SIZE) -> DataFrame:
+    """The raster on another grid; a grid is (crs, x of column 0's left, y of row 0's top, cell size).
+
+    Every source tile goes to the target tiles that its outline, sent through the formulas,
+    can touch; a target tile then takes the nearest source cell of each of its cell centres,
+    or weights the four around it (``bilinear``, of those that have data).
+    """
+    from ..functions import crs
+
+    (a, ax, ay, ac), (b, bx, by, bc) = source, target
+    keys = keys_of(tiles)
+
+    @F.arrow_udf("array<struct<x: int, y: int>>")
+    def touched(tx: pa.Array, ty: pa.Array, n: pa.Array) -> pa.Array:
+        out = []
+        for i, j, m in zip(tx.to_pylist(), ty.to_pylist(), n.to_pylist()):
+            t = np.linspace(-1, m + 1, 33)
+            u, v = (np.concatenate([g.ravel() for g in np.meshgrid(t, t)[k : k + 1]]) for k in (0, 1))
+            x, y = crs.transform(ax + (i * m + u) * ac, ay - (j * m + v) * ac, a, b)
+            c, r = (x - bx) / bc / size, (by - y) / bc / size
+            ok = np.isfinite(c) & np.isfinite(r)
+            span = lambda w: range(int(np.floor(w[ok].min() - 0.02)), int(np.floor(w[ok].max() + 0.02)) + 1) if ok.any() else range(0)
+            out.append([{"x": p, "y": q} for p in span(c) for q in span(r)])
+        return pa.array(out, pa.list_(pa.struct([("x", pa.int32()), ("y", pa.int32())])))
+
+    own = [k for k in keys if k not in ("tx", "ty")]
+    sent = tiles.select(*own, F.col("tx").alias("__sx"), F.col("ty").alias("__sy"), "cells", F.explode(touched("tx", "ty", edge())).alias("__t"))
+    sent = sent.select(*own, F.col("__t.x").alias("tx"), F.col("__t.y").alias("ty"), "__sx", "__sy", "cells")
+
+    def run(t: pa.Table) -> pa.Table:
+        tx, ty = t["tx"][0].as_py(), t["ty"][0].as_py()
+        sx, sy, parts = t["__sx"].to_pylist(), t["__sy"].to_pylist(), t["cells"].combine_chunks()
+        m = int(round(len(parts[0].values) ** 0.5))
+        x, y = np.meshgrid(bx + (tx * size + np.arange(size) + 0.5) * bc, by - (ty * size + np.arange(size) + 0.5) * bc)
+        px, py = crs.transform(x.ravel(), y.ravel(), b, a)
+        col, row = (px - ax) / ac, (ay - py) / ac
+        place = {p: i for i, p in enumerate(zip(sx, sy))}
+        values = [p.values.to_numpy(zero_copy_only=False) for p in parts]
+        masks = [np.array(p.values.is_valid()) for p in parts]
+
+        def pick(c: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Values and presence at whole source columns and rows."""
+            out, has = np.full(len(c), NAN), np.zeros(len(c), bool)
+            ok = np.isfinite(c) & np.isfinite(r)
+            c, r = np.where(ok, c, 0).astype(np.int64), np.where(ok, r, 0).astype(np.int64)
+            for (i, j), k in place.items():
+                at = ok & (c // m == i) & (r // m == j)
+                f = (r[at] - j * m) * m + c[at] - i * m
+                out[at], has[at] = values[k][f], masks[k][f]
+            return out, has
+
+        near, has = pick(np.floor(col), np.floor(row))
+        if how == "bilinear":
+            top, bottom = np.zeros(len(col)), np.zeros(len(col))
+            c0, r0 = np.floor(col - 0.5), np.floor(row - 0.5)
+            for dc in (0, 1):
+                for dr in (0, 1):
+                    w = (1 - np.abs(col - 0.5 - c0 - dc)) * (1 - np.abs(row - 0.5 - r0 - dr))
+                    v, _ = pick(c0 + dc, r0 + dr)
+                    ok = ~np.isnan(v) & (w > 0)
+                    top, bottom = top + np.where(ok, v * w, 0), bottom + np.where(ok, w, 0)
+            near = np.where(has & ~np.isnan(near), top / np.where(bottom > 0, bottom, 1), near)
+        if not has.any():
+            return t.select(keys).slice(0, 0).append_column("cells", pa.array([], pa.list_(pa.float64())))
+        return pa.table({**{k: t[k].combine_chunks()[:1] for k in keys}, "cells": _listed(near, has)})
+
+    return sent.groupBy(*keys).applyInArrow(run, _schema(tiles, keys))

@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import inspect
 import json
-import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -116,7 +115,7 @@ def _inline(graph: Graph, body: dict, bound: dict, outer: dict):
 def call(function: str, args: dict, context: dict):
     if function not in REGISTRY:
         raise KeyError(f"no operator {function}")
-    f = REGISTRY[function]
+    f, args = REGISTRY[function], {k.replace("-", "_"): v for k, v in args.items()}
     names = inspect.signature(f).parameters
     unknown = set(args) - set(names)
     if unknown and not any(p.kind is p.VAR_KEYWORD for p in names.values()):
@@ -124,31 +123,14 @@ def call(function: str, args: dict, context: dict):
     return f(**{k: context[k] for k in names if k in context and k not in args}, **args)
 
 
-def zoom_of(scale: float) -> int:
-    """Zoom level of a batch run's scale in metres a cell."""
-    return int(math.floor(math.log2(156543.033928 / scale))) + 1 if scale > 0 else -1
-
-
 def _defaults() -> None:
-    from ..functions import cellmath
+    """Names that graphs know, then every public function of the operators under its own name."""
     from ..operators import collection, cube, features, focal, interpolation, raster, regression, spatial, statistics, terrain
     from ..sources import readers
+    from . import names
 
+    REGISTRY.update(names.NAMES)
     camel = lambda s: "".join(w if i == 0 else w.title() for i, w in enumerate(s.strip("_").split("_")))
-    for n in cellmath.UNARY:
-        register(f"Coverage.{camel(n)}", lambda coverage, n=n: raster.unary(coverage, n))
-    for n in cellmath.CONSTANT:
-        register(f"Coverage.{camel(n)}", lambda coverage, i, n=n: raster.constant(coverage, n, float(i)))
-    for n in cellmath.BINARY:
-        register(f"Coverage.{camel(n)}", lambda coverage1, coverage2, n=n: raster.binary(coverage1, coverage2, n))
-    for n, hi in cellmath.CELL_TYPES.items():
-        register(f"Coverage.to{n.title()}", lambda coverage, n=n: raster.local(coverage, lambda v: cellmath.to_type(v, n)))
-        del hi
-    for n in ("mean", "median", "max", "min", "mode"):
-        register(f"Coverage.focal{n.title()}", lambda coverage, kernelType="square", radius=1, n=n: focal.focal(coverage, n, radius, kernelType))
-    register("Coverage.entropy", lambda coverage, kernelType="square", radius=1: focal.focal(coverage, "entropy", radius, kernelType))
-    for n in ("mean", "min", "max", "sum", "or", "and", "median", "mode", "cat"):
-        register(f"CoverageCollection.{n}", lambda coverageCollection, n=n: collection.reduce(coverageCollection, n))
     for n in ("min", "max", "mean", "product", "sample_sd", "sample_var", "total_sd", "total_var", "sum", "count", "count_distinct"):
         register(f"FeatureCollection.aggregate_{n}", lambda collection, property, n=n: features.aggregate(collection, property, n))
     for prefix, module in (("Coverage", raster), ("Coverage", focal), ("CoverageCollection", collection), ("Cube", cube), ("FeatureCollection", features), ("FeatureCollection", spatial), ("Kernel", focal), ("SpatialStats", statistics), ("SpatialInterpolation", interpolation), ("SpatialRegression", regression), ("Terrain", terrain), ("Service", readers)):

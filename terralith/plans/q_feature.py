@@ -162,7 +162,7 @@ def _graph(s, d):
     call = lambda f, **a: {"functionInvocationValue": {"functionName": f, "arguments": a}}
     const, ref = (lambda v: {"constantValue": v}), (lambda v: {"valueReference": v})
     dag.register("Test.customers", lambda spark: _cust(spark, d))
-    nodes = {"0": call("FeatureCollection.aggregate_mean", collection=ref("1"), property=const("c_acctbal")), "1": call("FeatureCollection.filterMetadata", df=ref("2"), name=const("c_mktsegment"), operator=const("equals"), value=const("BUILDING")), "2": call("Test.customers")}
+    nodes = {"0": call("FeatureCollection.aggregate_mean", collection=ref("1"), property=const("c_acctbal")), "1": call("FeatureCollection.filterMetadata", collection=ref("2"), name=const("c_mktsegment"), operator=const("equals"), value=const("BUILDING")), "2": call("Test.customers")}
     return rounded(dag.run({"result": "0", "values": nodes}, {"spark": s}), "value", places=4)
 
 

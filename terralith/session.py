@@ -10,6 +10,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def session(app: str = "terralith", **conf: str) -> SparkSession:
@@ -55,6 +56,26 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def running(df: DataFrame, *order: str, amount: str | None = None, name: str = "row") -> DataFrame:
+    """Adds the running sum of a column in the order of columns (own row included), or each row's number from 1,
+    without sorting all rows in one task.
+
+    Rows are partitioned by ranges and sorted within them; a range begins with the sum of the
+    ranges before it.
+    """
+    parts = checkpointed(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id()))
+    one = F.lit(1) if amount is None else F.col(amount)
+    sizes = parts.groupBy("__p").agg(F.sum(one).alias("__m"))  # a row a partition
+    before = sizes.withColumn("__b", F.coalesce(F.sum("__m").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__m")
+    w = Window.partitionBy("__p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    within = parts.withColumn("__i", F.sum(one).over(w))
+    return within.join(before, "__p").withColumn(name, F.col("__i") + F.col("__b")).drop("__p", "__i", "__b")
+
+
+def numbered(df: DataFrame, *order: str, name: str = "row") -> DataFrame:
+    return running(df, *order, name=name)
+
+
 def connected(edges: DataFrame, most: int = 60) -> DataFrame:
     """(id, comp) of vertices of (a, b) edges: the least id of the component; rounds are checkpointed."""
     now, before = checkpointed(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()), None

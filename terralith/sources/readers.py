@@ -13,6 +13,14 @@ from ..functions import geometry as G
 from . import geotiff
 
 
+def features(spark: SparkSession, path: str) -> DataFrame:
+    """Features of files by their ending: csv, json, geojson, parquet or shp."""
+    end = path.rstrip("/").rsplit(".", 1)[-1].lower()
+    if end == "shp":
+        return shapefile(spark, path[:-3] + "{shp,dbf}")
+    return {"csv": csv, "json": json_lines, "geojson": geojson, "parquet": parquet}[end](spark, path)
+
+
 def csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """CSV with a header, with WKT in ``geom``; types are inferred without a schema."""
     r = spark.read.option("header", True)
@@ -127,6 +135,18 @@ def jdbc(spark: SparkSession, url: str, query: str, **options: str) -> DataFrame
     return spark.read.format("jdbc").options(url=url, query=query, **options).load()
 
 
+def read_tiles(spark: SparkSession, path: str, size: int = 256) -> DataFrame:
+    """(cov_id, band, tx, ty, cells) of GeoTIFF files, a file a task."""
+    raw = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"([^/]+)\.[Tt][Ii][Ff]+$", 1).alias("cov_id"), "content")
+
+    def run(batches):
+        for b in batches:
+            for name, data in zip(b.column("cov_id").to_pylist(), b.column("content").to_pylist()):
+                yield from geotiff.tiles(name, *geotiff.decode(data), size)
+
+    return raw.mapInArrow(run, "cov_id string, band string, tx int, ty int, cells array<double>")
+
+
 def read_geotiff(spark: SparkSession, path: str) -> DataFrame:
     """(cov_id, band, cx, cy, v) of GeoTIFF files, a file a task; NoData leaves no row."""
     raw = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"([^/]+)\.[Tt][Ii][Ff]+$", 1).alias("cov_id"), "content")

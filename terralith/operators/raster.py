@@ -412,9 +412,11 @@ def as_date(seconds: Column) -> Column:
     return F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd")
 
 
-def reproject(cells: DataFrame, source: tuple[str, float, float, float], target: tuple[str, float, float, float], how: str = "nearest") -> DataFrame:
-    """The raster on another grid (crs, left, top, cell size); see ``tiles.warped``."""
-    return tiles.warped(cells, source, target, how) if tiled(cells) else from_tiles(tiles.warped(to_tiles(cells), source, target, how))
+def reproject(cells: DataFrame, source: tuple[str, float, float, float], target: tuple[str, float, float, float], how: str = "nearest", size: int | None = None) -> DataFrame:
+    """The raster on another grid (crs, left, top, cell size), in tiles as large as its own; see ``tiles.warped``."""
+    if not tiled(cells):
+        return from_tiles(tiles.warped(to_tiles(cells), source, target, how))
+    return tiles.warped(cells, source, target, how, size or tiles.size_of(cells))
 
 
 def aligned(a: DataFrame, b: DataFrame, grid_a: tuple[str, float, float, float], grid_b: tuple[str, float, float, float]) -> tuple[DataFrame, DataFrame, tuple[str, float, float, float]]:
@@ -429,9 +431,9 @@ def aligned(a: DataFrame, b: DataFrame, grid_a: tuple[str, float, float, float],
     u, v = crs.transform([x, x + grid_b[3]], [y, y], grid_b[0], grid_a[0])
     size_b = float(((u[1] - u[0]) ** 2 + (v[1] - v[0]) ** 2) ** 0.5)
     if size_b < grid_a[3] * (1 - 1e-9):
-        return reproject(a, grid_a, grid_b), b, grid_b
+        return reproject(a, grid_a, grid_b, size=tiles.size_of(b) if tiled(b) else None), b, grid_b
     same = tuple(grid_a) == tuple(grid_b)
-    return a, b if same else reproject(b, grid_b, grid_a), grid_a
+    return a, b if same else reproject(b, grid_b, grid_a, size=tiles.size_of(a) if tiled(a) else None), grid_a
 
 
 def band_types(cells: DataFrame) -> DataFrame:

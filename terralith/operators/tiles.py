@@ -42,6 +42,12 @@ def edge(cells: str = "cells") -> Column:
     return F.sqrt(F.size(cells)).cast("int")
 
 
+def size_of(tiles: DataFrame) -> int:
+    """Cells along the edge of a table's tiles, from one of its rows."""
+    row = tiles.select(edge().alias("s")).first()
+    return row["s"] if row else SIZE
+
+
 def _schema(df: DataFrame, keys: list[str]) -> str:
     return ", ".join([*(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys), "cells array<double>"])
 

@@ -281,7 +281,9 @@ def _rgb(coverage):
 def _date(coverage):
     """(day): the days of a raster's time stamps."""
     t = pixels(coverage)
-    ts = next(c for c in ("ts", "time") if c in t.columns)
+    ts = next((c for c in ("ts", "time") if c in t.columns), None)
+    if ts is None:
+        raise ValueError("the raster has no time stamps")
     return t.select(F.date_format(ts, "yyyy-MM-dd").alias("day")).distinct()
 
 

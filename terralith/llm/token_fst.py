@@ -5,7 +5,8 @@ Two deterministic transducers replace a byte-level BPE tokenizer.
 The splitter reads character classes (with two characters of look-ahead folded into the
 symbol) and marks where the tokenizer's pattern begins a piece. Each chunk of a text gives
 a map from every entry state to its exit state; a parallel prefix scan composes the maps,
-so all chunks of all texts of a batch run in lockstep.
+so all chunks of all texts of a batch run in lockstep. The counter's chunk maps, from entry
+state to exit state and count, are composed by a scan as well (see ``Counter.count``).
 
 The counter reads the bytes of a piece. Its state lists each place in the piece where a
 token may still begin or go on: the vocabulary trie's node there, the last token before it
@@ -248,33 +249,66 @@ class Counter:
             self.next, self.change = np.full((len(self.keys), 32), -1, np.int32), np.zeros((len(self.keys), 32), np.int8)
         return np.array(new, np.int64)[at]
 
-    def count(self, buf: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Tokens of each piece buf[start : start + size], all pieces in lockstep."""
-        if len(self.keys) > MOST_STATES:
-            self.reset()
+    def walk(self, buf: np.ndarray, begins: np.ndarray, start: np.ndarray, size: np.ndarray, state: np.ndarray, change: np.ndarray, held: np.ndarray) -> np.ndarray:
+        """Exit states of the stretches buf[start : start + size] from their entry states, all in lockstep.
+
+        Where ``begins`` is set a piece begins, in the start state. The changes of the counts
+        are written to ``change``, by byte; ``held`` are states to keep when some are forgotten.
+        """
         order = np.argsort(-size, kind="stable")
-        begin, size = start[order], size[order]
-        state, total = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
+        begin, size, state = start[order], size[order], state[order].astype(np.int64)
         live = np.searchsorted(-size, -np.arange(1, (size[0] if len(size) else 0) + 1), side="right")
         for j, m in enumerate(live):
             if len(self.keys) > MOST_STATES:
-                state[:m] = self.forget(state[:m])
-            byte = buf[begin[:m] + j]
+                state[:], held[:] = np.split(self.forget(np.concatenate([state, held])), [len(state)])
+            at = begin[:m] + j
+            byte, now = buf[at], np.where(begins[at], 0, state[:m])
             while True:
                 col = self.column[byte]
-                i = state[:m] * self.next.shape[1] + np.maximum(col, 0)
+                i = now * self.next.shape[1] + np.maximum(col, 0)
                 to = self.next.ravel()[i]
                 miss = (to < 0) | (col < 0)
                 if not miss.any():
                     break
-                for k in np.unique(state[:m][miss] << 8 | byte[miss]).tolist():
+                for k in np.unique(now[miss] << 8 | byte[miss]).tolist():
                     self.compile(k >> 8, k & 255)
-            total[:m] += self.change.ravel()[i]
+            change[at] = self.change.ravel()[i]
             state[:m] = to
         out = np.empty(len(order), np.int64)
-        out[order] = total
+        out[order] = state
         return out
 
+    def count(self, buf: np.ndarray, begins: np.ndarray, chunk: int = CHUNK) -> np.ndarray:
+        """Change of the token count at each byte of ``buf``; ``begins`` marks where pieces begin, the first byte among them.
+
+        A chunk's map from entry state to (exit state, count) is constant from its first
+        beginning on: that part of all chunks is walked at once, whatever came before. What is
+        left are the heads, which go on with a piece of the chunk before. The scan composes the
+        maps: each head is entered with the exit of the chunk before it, all those that are
+        known at once; only a chunk without a beginning hands its entry on, so there are as
+        many rounds as the longest piece has whole chunks.
+        """
+        n = -(-len(buf) // chunk)
+        edge = np.minimum(np.arange(n + 1) * chunk, len(buf))
+        at = np.flatnonzero(begins)
+        first = np.append(at, len(buf))[np.searchsorted(at, edge[:-1])]
+        head = np.minimum(first, edge[1:]) - edge[:-1]  # bytes before the chunk's first beginning
+        change, exits = np.zeros(len(buf), np.int8), np.full(n, -1, np.int64)
+        some = np.flatnonzero(head < np.diff(edge))
+        none = np.zeros(0, np.int64)
+        exits[some] = self.walk(buf, begins, edge[some] + head[some], edge[some + 1] - edge[some] - head[some], np.zeros(len(some), np.int64), change, none)
+        todo = np.flatnonzero(head)
+        while len(todo):
+            now = todo[exits[todo - 1] >= 0]
+            known = np.flatnonzero(exits >= 0)
+            held = exits[known]
+            out = self.walk(buf, begins, edge[now], head[now], exits[now - 1], change, held)
+            exits[known] = held
+            whole = head[now] == edge[now + 1] - edge[now]
+            exits[now[whole]] = out[whole]
+            todo = np.setdiff1d(todo, now, assume_unique=True)
+        return change
+
 
 _counters: dict[str, Counter] = {}
 
@@ -300,8 +334,10 @@ def count_tokens(array, path: str = VOCABULARY) -> np.ndarray:
         place = np.flatnonzero((buf & 0xC0) != 0x80)
         first = np.searchsorted(place, o)
         begin = place[boundaries(symbols(cp, first), first)]
-        n = counter.count(buf, begin, np.diff(np.append(begin, len(buf))))
-        out[a:b] = np.bincount(np.searchsorted(o, begin, side="right") - 1, weights=n, minlength=b - a)[: b - a].astype(np.int64)
+        begins = np.zeros(len(buf), bool)
+        begins[begin] = True
+        total = np.concatenate([[0], np.cumsum(counter.count(buf, begins), dtype=np.int64)])
+        out[a:b] = total[o[1:]] - total[o[:-1]]
     return out
 
 

@@ -358,3 +358,19 @@ def test_states_are_forgotten_without_a_change(monkeypatch, texts):
     want = token_fst.count_tokens(some).tolist()
     monkeypatch.setattr(token_fst, "MOST_STATES", 50)
     assert token_fst.count_tokens(some).tolist() == want
+
+
+def test_count_maps_compose_over_any_chunks(texts):
+    """The counts are the same for chunks of one byte, of a few and of more than the text; pieces may span many."""
+    counter = token_fst.load(token_fst.VOCABULARY)
+    rng = random.Random(11)
+    text = ("x" * 700 + " don't " + "".join(rng.choice("abcdeé漢 .,1'") for _ in range(900)) + "é" * 333).encode()
+    buf = np.frombuffer(text, np.uint8)
+    cp = np.frombuffer(text.decode().encode("utf-32-le"), np.uint32)
+    place = np.flatnonzero((buf & 0xC0) != 0x80)
+    first = np.array([0, len(cp)])
+    begins = np.zeros(len(buf), bool)
+    begins[place[token_fst.boundaries(token_fst.symbols(cp, first), first)]] = True
+    want = len(attention_lm.encoding(token_fst.VOCABULARY).encode_ordinary(text.decode()))
+    changes = [counter.count(buf, begins, c) for c in (1, 2, 7, 64, 256, 10_000)]
+    assert all(c.sum() == want and (c == changes[0]).all() for c in changes)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..operators import focal, interpolation, regression, spatial, statistics
-from .fixtures import add, dem, pts, qp, rounded, table
+from .fixtures import add, pts, qp, rounded, table
 
 _D2 = "(p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y)"
 add("sta_ann", lambda s, d: rounded(statistics.average_nearest_neighbor(pts(s, d)).drop("p"), "observed", "expected", "ann", "z"), f"""SELECT round(o, 6) AS observed, round(e, 6) AS expected, round(o / e, 6) AS ann, round((o - e) / se, 6) AS z FROM (SELECT avg(m) AS o FROM (SELECT p.id, min(sqrt({_D2})) AS m FROM pts p JOIN pts q ON p.id <> q.id GROUP BY 1)),
@@ -137,4 +137,3 @@ add("reg_gw_correlation", lambda s, d: rounded(regression.gw_correlation(_field(
 add("reg_gw_pca", lambda s, d: rounded(regression.gw_pca(_field(s, d), ["a", "b", "v"], 5.0).select("id", F.element_at("share", 1).alias("share")), "share", places=5))
 add("reg_gw_discriminant", lambda s, d: regression.gw_discriminant(_field(s, d).withColumn("c", F.when(F.col("a") + F.col("b") > 5, "high").otherwise("low")), "c", ["a", "b"], 5.0))
 add("int_voronoi_area", lambda s, d: rounded(spatial.voronoi_cells(qp(s, d), "POLYGON ((-180 -90, 180 -90, 180 90, -180 90, -180 -90))").agg(F.sum(G.measure("area")("geom")).alias("v"))), "SELECT 64800.0 AS v")
-add("sta_dem_mean", lambda s, d: rounded(dem(s).agg(F.avg("v").alias("v"))), "SELECT round(avg(v), 6) AS v FROM dem")

@@ -29,4 +29,4 @@ SLOW = {"reg_mgwr"}  # iterative, half a minute or more
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - SLOW))
 def test_without_sql_runs(spark, name):
     got = QUERIES[name](spark, SF)
-    assert len(got.columns) == len(set(got.columns)) and got.count() >= 0
+    assert len(got.columns) == len(set(got.columns)) and got.count() > 0  # their values are tested in test_models, test_tiles and the like

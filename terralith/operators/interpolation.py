@@ -1,8 +1,8 @@
 """Interpolation of points (id, x, y, value) to the cell centres of a grid.
 
-Nearest neighbour and inverse distance are joins. Splines, kriging and triangles solve one
-system of all points, which is in their nature: the solution is made once in one task, and
-the cells are then evaluated in parallel against it.
+Nearest neighbour and inverse distance are joins. Thin plates and kriging solve one system of
+all places, which is in their nature: up to ``DIRECT`` places in one task, and more of them
+without the matrix, by all tasks (``systems``). The cells are evaluated in parallel.
 """
 
 from __future__ import annotations
@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from .spatial import distance_join, knn
+from .systems import NotDefinite, System, blocks, spread
+
+DIRECT = 1500  # places whose matrix one task holds and solves
 
 
 def grid(points: DataFrame, cols: int, rows: int) -> DataFrame:
@@ -83,11 +86,13 @@ def _all_points(spark, g: DataFrame, v: DataFrame, power: float) -> DataFrame:
     return part.groupBy("cx", "cy").agg(whole.alias("v"))
 
 
-def _solved(points: DataFrame, value: str, cols: int, rows: int, solve, evaluate, columns: str = "v double") -> DataFrame:
-    """One task solves from all points; the cells join its state and are evaluated in batches."""
+def _solved(points: DataFrame, value: str, cols: int, rows: int, solve, evaluate, columns: str = "v double", merge: bool = False) -> DataFrame:
+    """One task solves from all points (``merge``: from all places); the cells join its state and are evaluated in batches."""
     import pickle
 
     rows_ = points.select("id", "x", "y", F.col(value).cast("double").alias("v")).dropna()
+    if merge:
+        rows_ = rows_.groupBy("x", "y").agg(F.min("id").alias("id"), F.avg("v").alias("v"))
 
     def one(t: pa.Table) -> pa.Table:
         t = t.sort_by("id")
@@ -114,6 +119,41 @@ def _solved(points: DataFrame, value: str, cols: int, rows: int, solve, evaluate
     return g.groupBy("part").cogroup(each.groupBy("part")).applyInArrow(run, f"cx int, cy int, {columns}")
 
 
+def _hull(x: np.ndarray, y: np.ndarray) -> list[int]:
+    """Corners of the convex hull, counterclockwise."""
+    order = np.lexsort((y, x)).tolist()
+    xs, ys, half = x.tolist(), y.tolist(), []
+    for line in (order, order[::-1]):
+        c: list[int] = []
+        for i in line:
+            while len(c) > 1 and (xs[c[-1]] - xs[c[-2]]) * (ys[i] - ys[c[-2]]) - (ys[c[-1]] - ys[c[-2]]) * (xs[i] - xs[c[-2]]) <= 0:
+                c.pop()
+            c.append(i)
+        half.append(c[:-1] if len(c) > 1 else c)
+    return list(dict.fromkeys(half[0] + half[1]))
+
+
+def _places(points: DataFrame, value: str) -> tuple[np.ndarray, ...]:
+    """x, y, number of points, their values' mean and variance of each distinct place, in the order of the least id.
+
+    Points of one place have equal rows in a system, so its least-norm solution shares their place's weight equally."""
+    p = points.select("id", "x", "y", F.col(value).cast("double").alias("v")).dropna()
+    t = p.groupBy("x", "y").agg(F.min("id").alias("id"), F.count("*").cast("double").alias("n"), F.avg("v").alias("m"), F.var_pop("v").alias("s")).toArrow().sort_by("id")
+    return tuple(t[c].to_numpy() for c in ("x", "y", "n", "m", "s"))
+
+
+def _at_cells(points: DataFrame, cols: int, rows: int, state, evaluate) -> DataFrame:
+    """(cx, cy, v): evaluate(state, x, y) at the cells, by tasks that share the state."""
+    held = points.sparkSession.sparkContext.broadcast(state)
+
+    def run(batches):
+        for b in batches:
+            v = evaluate(held.value, b["x"].to_numpy(), b["y"].to_numpy())
+            yield pa.RecordBatch.from_arrays([b["cx"], b["cy"], pa.array(v, pa.float64())], ["cx", "cy", "v"])
+
+    return grid(points, cols, rows).select("cx", "cy", "x", "y").mapInArrow(run, "cx int, cy int, v double")
+
+
 def linear(points: DataFrame, value: str, cols: int = 20, rows: int = 20) -> DataFrame:
     """(cx, cy, v): barycentric in Delaunay triangles; outside of the hull the nearest point's value."""
 
@@ -155,9 +195,21 @@ def thin_plate_spline(points: DataFrame, value: str, cols: int = 20, rows: int =
     def evaluate(s, gx, gy):
         x, y, x0, y0, unit, w = s
         gx, gy = (gx - x0) / unit, (gy - y0) / unit
-        return _phi((gx[:, None] - x) ** 2 + (gy[:, None] - y) ** 2) @ w[:-3] + w[-3] + w[-2] * gx + w[-1] * gy
+        out = w[-3] + w[-2] * gx + w[-1] * gy
+        for i, j, d in blocks(x, y, 0, len(gx), at=(gx, gy)):
+            out[i] += _phi(d) @ w[:-3][j]
+        return out
 
-    return _solved(points, value, cols, rows, solve, evaluate)
+    x, y, _, v, _ = _places(points, value)
+    if len(x) > DIRECT:
+        x0, y0 = x.mean(), y.mean()
+        unit = max(np.ptp(x), np.ptp(y)) or 1.0
+        x, y = (x - x0) / unit, (y - y0) / unit
+        system = System(points.sparkSession.sparkContext, x, y, _phi, 1)
+        w, c = system.solve(v[:, None])
+        system.close()
+        return _at_cells(points, cols, rows, (x, y, x0, y0, unit, np.concatenate([w[:, 0], c[:, 0]])), evaluate)
+    return _solved(points, value, cols, rows, solve, evaluate, merge=True)
 
 
 def b_spline(points: DataFrame, value: str, cols: int = 20, rows: int = 20, knots: int = 8, ridge: float = 1e-3) -> DataFrame:
@@ -189,22 +241,42 @@ def variogram(model: str, nugget: float, sill: float, reach: float):
 
     def f(h: np.ndarray) -> np.ndarray:
         t = h / reach
-        rise = {"Sph": np.where(t < 1, 1.5 * t - 0.5 * t**3, 1.0), "Exp": 1 - np.exp(-3 * t), "Gau": 1 - np.exp(-3 * t * t), "Lin": np.minimum(t, 1.0)}[model]
-        return np.where(h > 0, nugget + (sill - nugget) * rise, 0.0)
+        if model == "Sph":
+            t = np.minimum(t, 1.0)
+            rise = t * (1.5 - 0.5 * t * t)
+        else:
+            rise = {"Exp": lambda: 1 - np.exp(-3 * t), "Gau": lambda: 1 - np.exp(-3 * t * t), "Lin": lambda: np.minimum(t, 1.0)}[model]()
+        g = nugget + (sill - nugget) * rise
+        return np.where(h > 0, g, 0.0) if nugget else g  # no rise at 0
 
     return f
 
 
-def empirical_variogram(x: np.ndarray, y: np.ndarray, v: np.ndarray, bins: int) -> tuple[np.ndarray, np.ndarray]:
-    h = np.hypot(x[:, None] - x, y[:, None] - y)
-    g = 0.5 * (v[:, None] - v) ** 2
-    i, j = np.triu_indices(len(x), 1)
-    h, g = h[i, j], g[i, j]
-    width = h.max() / 2 / bins or 1.0
-    k = np.floor(h / width).astype(int)
-    n = np.bincount(k, minlength=bins)[:bins]
-    mean = np.bincount(k, g, bins)[:bins] / np.maximum(n, 1)
-    return (np.arange(bins)[n > 0] + 0.5) * width, mean[n > 0]
+def empirical_variogram(sc, x: np.ndarray, y: np.ndarray, n: np.ndarray, v: np.ndarray, s: np.ndarray, bins: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distances and half squared differences of all pairs of points, as means of bins up to half of the largest distance.
+
+    Of distinct places with their number of points, mean and variance; each task goes over its part of the pairs."""
+    hull = np.array(_hull(x, y))
+    longest = np.hypot(x[hull, None] - x[hull], y[hull, None] - y[hull]).max()
+    width = longest / 2 / bins or 1.0
+    shared = sc.broadcast((x, y, n, v, s))
+
+    def work(begin: int, end: int):
+        x, y, n, v, s = shared.value
+        count, total = np.zeros(bins + 1), np.zeros(bins + 1)
+        for i, j, d in blocks(x, y, begin, end):
+            k = np.minimum(np.sqrt(d) / width, bins).astype(np.int32).ravel()
+            m = n[i, None] * n[j]
+            count += np.bincount(k, m.ravel(), bins + 1)
+            total += np.bincount(k, (m * ((v[i, None] - v[j]) ** 2 + s[i, None] + s[j])).ravel(), bins + 1)
+        return count, total
+
+    count, total = (np.sum(c, 0)[:bins] / 2 for c in zip(*spread(sc, work, len(x))))
+    shared.destroy()
+    count[0] -= n.sum() / 2  # a point with itself
+    total = total / 2
+    some = count > 0.25
+    return (np.arange(bins)[some] + 0.5) * width, total[some] / count[some]
 
 
 def fit_variogram(h: np.ndarray, g: np.ndarray, model: str) -> tuple[float, float, float]:
@@ -226,8 +298,18 @@ def kriging(points: DataFrame, value: str, cols: int = 20, rows: int = 20, model
     The variogram is fitted to the points unless nugget, sill and range are given.
     """
 
+    sc = points.sparkSession.sparkContext
+    px, py, pn, pv, ps = _places(points, value)
+    if not len(px):
+        return points.sparkSession.createDataFrame([], "cx int, cy int, v double, variance double")
+    par = (nugget or 0.0, sill, reach) if sill and reach else fit_variogram(*empirical_variogram(sc, px, py, pn, pv, ps, bins), model)
+    if len(px) > DIRECT:
+        try:
+            return _kriged(points, px, py, pv, cols, rows, model, par, mean)
+        except NotDefinite:
+            pass  # such a variogram's matrix can only be solved as a whole
+
     def solve(x, y, v):
-        par = (nugget or 0.0, sill, reach) if sill and reach else fit_variogram(*empirical_variogram(x, y, v, bins), model)
         f = variogram(model, *par)
         g = f(np.hypot(x[:, None] - x, y[:, None] - y))
         if mean is not None:
@@ -246,7 +328,24 @@ def kriging(points: DataFrame, value: str, cols: int = 20, rows: int = 20, model
         w = b @ inv
         return w[:, :-1] @ v, (w * b).sum(1)
 
-    return _solved(points, value, cols, rows, solve, evaluate, "v double, variance double")
+    return _solved(points, value, cols, rows, solve, evaluate, "v double, variance double", merge=True)
+
+
+def _kriged(points: DataFrame, x: np.ndarray, y: np.ndarray, v: np.ndarray, cols: int, rows: int, model: str, par: tuple, mean: float | None) -> DataFrame:
+    """Kriging of more places than a matrix could hold: the weights of some cells at a time."""
+    f = variogram(model, *par)
+    kernel = (lambda d: -f(np.sqrt(d))) if mean is None else (lambda d: par[1] - f(np.sqrt(d)))
+    at = grid(points, cols, rows).select("cx", "cy", "x", "y").toArrow()
+    cx, cy, gx, gy = (at[c].to_numpy() for c in ("cx", "cy", "x", "y"))
+    system = System(points.sparkSession.sparkContext, x, y, kernel, 0 if mean is None else None)
+    step, out = max(1, 2**22 // len(x)), []
+    for a in range(0, len(gx), step):
+        b = kernel((x[:, None] - gx[a : a + step]) ** 2 + (y[:, None] - gy[a : a + step]) ** 2)
+        w, c = system.solve(b, np.ones((1, b.shape[1])) if mean is None else None)
+        out.append((w.T @ v, -(w * b).sum(0) - c[0]) if mean is None else (mean + w.T @ (v - mean), par[1] - (w * b).sum(0)))
+    system.close()
+    v, variance = (np.concatenate(o) for o in zip(*out))
+    return points.sparkSession.createDataFrame(pa.table({"cx": pa.array(cx, pa.int32()), "cy": pa.array(cy, pa.int32()), "v": v, "variance": variance}))
 
 
 def local_kriging(points: DataFrame, value: str, cols: int = 20, rows: int = 20, model: str = "Sph", nugget: float = 0.0, sill: float = 1.0, reach: float = 1.0, k: int = 16) -> DataFrame:

@@ -41,3 +41,10 @@ def test_variogram_counts_pairs_of_points(doubled, spark):
     k = np.floor(h / (h.max() / 2 / 8)).astype(int)
     want = [g[k == b].mean() for b in range(8)]
     assert interpolation.empirical_variogram(spark.sparkContext, *interpolation._places(df, "v"), 8)[1] == pytest.approx(want)
+
+
+def test_simple_kriging_without_its_matrix(doubled, monkeypatch):
+    df, x, y, v = doubled
+    monkeypatch.setattr(interpolation, "DIRECT", 10)
+    got = {(r.cx, r.cy): (r.v, r.variance) for r in interpolation.kriging(df, "v", 4, 3, sill=100.0, reach=90.0, mean=1.0).collect()}
+    assert got == {k: pytest.approx(kriged(x, y, v, *c, (0.0, 100.0, 90.0), 1.0), abs=1e-5) for k, c in cells(x, y, 4, 3).items()}

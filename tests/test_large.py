@@ -48,3 +48,10 @@ def test_simple_kriging_without_its_matrix(doubled, monkeypatch):
     monkeypatch.setattr(interpolation, "DIRECT", 10)
     got = {(r.cx, r.cy): (r.v, r.variance) for r in interpolation.kriging(df, "v", 4, 3, sill=100.0, reach=90.0, mean=1.0).collect()}
     assert got == {k: pytest.approx(kriged(x, y, v, *c, (0.0, 100.0, 90.0), 1.0), abs=1e-5) for k, c in cells(x, y, 4, 3).items()}
+
+
+def test_thin_plate_without_its_matrix(doubled, monkeypatch):
+    df = doubled[0]
+    want = {(r.cx, r.cy): r.v for r in interpolation.thin_plate_spline(df, "v", 7, 5).collect()}
+    monkeypatch.setattr(interpolation, "DIRECT", 10)
+    assert {(r.cx, r.cy): r.v for r in interpolation.thin_plate_spline(df, "v", 7, 5).collect()} == pytest.approx(want, abs=1e-6)

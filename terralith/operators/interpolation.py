@@ -154,26 +154,67 @@ def _at_cells(points: DataFrame, cols: int, rows: int, state, evaluate) -> DataF
     return grid(points, cols, rows).select("cx", "cy", "x", "y").mapInArrow(run, "cx int, cy int, v double")
 
 
+def _shares(x: np.ndarray, y: np.ndarray, abc) -> np.ndarray:
+    """Barycentric coordinates of the origin in a triangle of places relative to it."""
+    (ax, bx, cx), (ay, by, cy) = x[list(abc)], y[list(abc)]
+    u, v, w = bx * cy - cx * by, cx * ay - ax * cy, ax * by - bx * ay
+    return np.array([u, v, w]) / (u + v + w)
+
+
+def _triangle(x: np.ndarray, y: np.ndarray, hull: list[int]) -> tuple[tuple[int, int, int], np.ndarray] | None:
+    """The Delaunay triangle around the origin and the origin's shares of its corners; None outside of the hull.
+
+    It is the facet under the origin of the lower hull of the places lifted to x^2 + y^2: from a triangle of the hull's
+    corners, the place farthest below the triangle's plane takes the place of a corner until none is below. Where more
+    than three places are on its circle, they are cut from the one that is least by x and y."""
+    best = None
+    for b, c in zip(hull[1:], hull[2:]):
+        s = _shares(x, y, (hull[0], b, c))
+        if best is None or s.min() > best[1].min():
+            best = (hull[0], b, c), s
+    if best is None or best[1].min() < -1e-12:
+        return None
+    abc, z = list(best[0]), x * x + y * y
+    for _ in range(10_000):
+        a, b, c = abc
+        plane = np.linalg.solve(np.array([[x[b] - x[a], y[b] - y[a]], [x[c] - x[a], y[c] - y[a]]]), [z[b] - z[a], z[c] - z[a]])
+        over = z - (z[a] + (x - x[a]) * plane[0] + (y - y[a]) * plane[1])
+        near = 1e-9 * max(float(((x[abc] - plane[0] / 2) ** 2 + (y[abc] - plane[1] / 2) ** 2).max()), 1e-300)
+        over[abc] = 0.0
+        d = int(over.argmin())
+        if over[d] >= -near:
+            break
+        s, t = _shares(x, y, abc), _shares(x - x[d], y - y[d], abc)
+        abc[int(np.where(t > 1e-12, np.maximum(s, 0) / np.where(t > 1e-12, t, 1), np.inf).argmin())] = d
+    ring = np.flatnonzero(np.abs(over) <= near)
+    if len(ring) > 3:
+        ring = ring[np.argsort(np.arctan2(y[ring] - y[ring].mean(), x[ring] - x[ring].mean()))]
+        ring = np.roll(ring, -int(np.lexsort((y[ring], x[ring]))[0])).tolist()
+        abc = max(((ring[0], b, c) for b, c in zip(ring[1:], ring[2:])), key=lambda i: _shares(x, y, i).min())
+    return tuple(abc), _shares(x, y, abc)
+
+
 def linear(points: DataFrame, value: str, cols: int = 20, rows: int = 20) -> DataFrame:
-    """(cx, cy, v): barycentric in Delaunay triangles; outside of the hull the nearest point's value."""
+    """(cx, cy, v): barycentric in Delaunay triangles; outside of the hull the nearest point's value.
 
-    def solve(x, y, v):
-        return x, y, v, np.array(G.delaunay(list(zip(x.tolist(), y.tolist()))), int).reshape(-1, 3)
+    Of the triangles only those around a cell are made, each from all places in a few passes. Of points of one place
+    the one of the least id counts."""
+    p = points.select("id", "x", "y", F.col(value).cast("double").alias("v")).dropna()
+    t = p.groupBy("x", "y").agg(F.min("id").alias("id"), F.min_by("v", "id").alias("v")).toArrow().sort_by("id")
+    x, y, v = (t[c].to_numpy() for c in ("x", "y", "v"))
+    if not len(x):
+        return points.sparkSession.createDataFrame([], "cx int, cy int, v double")
 
     def evaluate(s, gx, gy):
-        x, y, v, tri = s
-        out = v[((gx[:, None] - x) ** 2 + (gy[:, None] - y) ** 2).argmin(1)]
-        done = np.zeros(len(gx), bool)
-        for a, b, c in tri:
-            d = (y[b] - y[c]) * (x[a] - x[c]) + (x[c] - x[b]) * (y[a] - y[c])
-            u = ((y[b] - y[c]) * (gx - x[c]) + (x[c] - x[b]) * (gy - y[c])) / d
-            w = ((y[c] - y[a]) * (gx - x[c]) + (x[a] - x[c]) * (gy - y[c])) / d
-            at = ~done & (u >= -1e-12) & (w >= -1e-12) & (u + w <= 1 + 1e-12)
-            out[at] = (u * v[a] + w * v[b] + (1 - u - w) * v[c])[at]
-            done |= at
+        x, y, v, hull = s
+        out = np.empty(len(gx))
+        for i in range(len(gx)):
+            px, py = x - gx[i], y - gy[i]
+            got = _triangle(px, py, hull)
+            out[i] = v[(px**2 + py**2).argmin()] if got is None else got[1] @ v[list(got[0])]
         return out
 
-    return _solved(points, value, cols, rows, solve, evaluate)
+    return _at_cells(points, cols, rows, (x, y, v, _hull(x, y)), evaluate)
 
 
 def _phi(r2: np.ndarray) -> np.ndarray:
@@ -228,12 +269,25 @@ def b_spline(points: DataFrame, value: str, cols: int = 20, rows: int = 20, knot
         bx, by = basis(np.clip((x - x0) / (x1 - x0), 0, 1) * knots), basis(np.clip((y - y0) / (y1 - y0), 0, 1) * knots)
         return (bx[:, :, None] * by[:, None, :]).reshape(len(x), -1)
 
-    def solve(x, y, v):
-        box = x.min(), y.min(), max(x.max(), x.min() + 1e-9), max(y.max(), y.min() + 1e-9)
-        a = design(box, x, y)
-        return box, v.mean(), np.linalg.solve(a.T @ a + ridge * np.eye(a.shape[1]), a.T @ (v - v.mean()))
+    p = points.select("x", "y", F.col(value).cast("double").alias("v")).dropna()
+    x0, y0, x1, y1, middle = p.agg(F.min("x"), F.min("y"), F.max("x"), F.max("y"), F.avg("v")).first()
+    if x0 is None:
+        return points.sparkSession.createDataFrame([], "cx int, cy int, v double")
+    box = x0, y0, max(x1, x0 + 1e-9), max(y1, y0 + 1e-9)
 
-    return _solved(points, value, cols, rows, solve, lambda s, x, y: design(s[0], x, y) @ s[2] + s[1])
+    def sums(batches):  # each task's part of the normal equations
+        size = (knots + 3) ** 2
+        whole = np.zeros((size, size + 1))
+        for b in batches:
+            x, y, v = (b[c].to_numpy() for c in ("x", "y", "v"))
+            for i in range(0, len(x), 4096):
+                a = design(box, x[i : i + 4096], y[i : i + 4096])
+                whole += a.T @ np.column_stack([a, v[i : i + 4096] - middle])
+        yield pa.RecordBatch.from_arrays([pa.array([whole.tobytes()], pa.binary())], ["part"])
+
+    whole = sum(np.frombuffer(r.part).reshape((knots + 3) ** 2, -1) for r in p.mapInArrow(sums, "part binary").toLocalIterator())
+    w = np.linalg.solve(whole[:, :-1] + ridge * np.eye(len(whole)), whole[:, -1])
+    return _at_cells(points, cols, rows, (box, middle, w), lambda s, x, y: design(s[0], x, y) @ s[2] + s[1])
 
 
 def variogram(model: str, nugget: float, sill: float, reach: float):

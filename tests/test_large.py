@@ -55,3 +55,23 @@ def test_thin_plate_without_its_matrix(doubled, monkeypatch):
     want = {(r.cx, r.cy): r.v for r in interpolation.thin_plate_spline(df, "v", 7, 5).collect()}
     monkeypatch.setattr(interpolation, "DIRECT", 10)
     assert {(r.cx, r.cy): r.v for r in interpolation.thin_plate_spline(df, "v", 7, 5).collect()} == pytest.approx(want, abs=1e-6)
+
+
+def test_linear_takes_the_delaunay_triangles(doubled):
+    """Against all triangles with an empty circle; also where four places of a grid are on one circle."""
+    _, x, y, v = doubled
+    x, y, v = x[:60], y[:60], v[:60]
+    hull = interpolation._hull(x, y)
+    for gx, gy in np.random.default_rng(5).uniform([-80, -40], [80, 40], (25, 2)):
+        got = interpolation._triangle(x - gx, y - gy, hull)
+        if got is not None:
+            (a, b, c), s = got
+            m = np.linalg.solve(2 * np.array([[x[b] - x[a], y[b] - y[a]], [x[c] - x[a], y[c] - y[a]]]), [x[b] ** 2 - x[a] ** 2 + y[b] ** 2 - y[a] ** 2, x[c] ** 2 - x[a] ** 2 + y[c] ** 2 - y[a] ** 2])
+            assert (np.hypot(x - m[0], y - m[1]) > np.hypot(x[a] - m[0], y[a] - m[1]) - 1e-7).all() and s.min() > -1e-9
+            assert (s @ x[[a, b, c]], s @ y[[a, b, c]]) == pytest.approx((gx, gy))
+    gx, gy = (a.ravel().astype(float) for a in np.meshgrid(np.arange(6), np.arange(6)))
+    hull = interpolation._hull(gx, gy)
+    assert sorted(hull) == [0, 5, 30, 35]
+    for px, py in np.random.default_rng(6).uniform(0, 5, (20, 2)):
+        (a, b, c), s = interpolation._triangle(gx - px, gy - py, hull)
+        assert {int(np.floor(px)) + 6 * int(np.floor(py))} <= {a, b, c} and s.min() >= 0 and max(np.ptp(gx[[a, b, c]]), np.ptp(gy[[a, b, c]])) == 1

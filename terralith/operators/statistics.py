@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from ..functions import distributions as D
 from ..session import checkpointed, numbered, running
 from .spatial import distance_join, join, knn
+from .systems import blocks, spread
 
 
 def two_sided(z: Column) -> Column:
@@ -92,15 +93,35 @@ def correlation(df: DataFrame, names: list[str], method: str = "pearson") -> Dat
 
 
 def ripley_k(points: DataFrame, steps: int = 10) -> DataFrame:
-    """(r, k): sqrt(A * pairs nearer than r / (pi n (n - 1))) at distances up to a quarter of the longer side."""
+    """(r, k): sqrt(A * pairs nearer than r / (pi n (n - 1))) at distances up to a quarter of the longer side.
+
+    All pairs of places are counted, in small blocks by all tasks; points of one place count together."""
     b = points.agg(F.count("*"), F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
     n, w, h = b
     step = max(w, h) * 0.25 / steps
-    p = points.select("id", "x", "y")
-    pairs = distance_join(p, p, step * steps).where("a.id != b.id").select((F.floor(F.col("dist") / step) + 1).cast("int").alias("bin")).groupBy("bin").agg(F.count("*").alias("m"))
-    grid = points.sparkSession.range(1, steps + 1).select(F.col("id").cast("int").alias("i"))
-    got = grid.join(pairs, pairs["bin"] <= grid["i"], "left").groupBy("i").agg(F.coalesce(F.sum("m"), F.lit(0)).alias("m"))
-    return got.select((F.col("i") * step).alias("r"), F.sqrt(w * h * F.col("m") / (math.pi * n * (n - 1))).alias("k"))
+    p = points.select("id", "x", "y").dropna()
+    at = p.groupBy("x", "y").agg(F.count("*").cast("double").alias("n")).toArrow()
+    shared = points.sparkSession.sparkContext.broadcast(tuple(at[c].to_numpy() for c in ("x", "y", "n")))
+
+    def work(begin: int, end: int):
+        x, y, n = shared.value
+        m = np.zeros(steps + 1)
+        for i, j, d in blocks(x, y, begin, end):
+            m += np.bincount(np.minimum(np.sqrt(d) / step, steps).astype(np.int32).ravel(), (n[i, None] * n[j]).ravel(), steps + 1)
+        return m
+
+    m = np.zeros(steps)
+    if at.num_rows and step:
+        m += np.sum(spread(points.sparkSession.sparkContext, work, at.num_rows), 0)[:steps]
+        often = p.groupBy("id").agg(F.count("*").alias("c"))  # rows of one id are no pairs: each with itself, and those of an id that occurs again
+        m[0] -= often.where("c = 1").count()
+        again = p.join(often.where("c > 1").select("id"), "id", "left_semi")
+        for r in distance_join(again, again, step * (steps + 1)).where("a.id = b.id").select(F.floor(F.col("dist") / step).cast("int").alias("bin")).groupBy("bin").count().collect():
+            if r[0] < steps:
+                m[r[0]] -= r[1]
+    shared.destroy()
+    rows = [(i * step, math.sqrt(w * h * c / (math.pi * n * (n - 1)))) for i, c in enumerate(np.cumsum(m).tolist(), 1)]
+    return points.sparkSession.createDataFrame(rows, "r double, k double")
 
 
 # --- weights ---

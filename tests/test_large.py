@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from terralith.operators import interpolation
+from terralith.operators import interpolation, statistics
 
 from .test_models import kriged
 
@@ -75,3 +75,21 @@ def test_linear_takes_the_delaunay_triangles(doubled):
     for px, py in np.random.default_rng(6).uniform(0, 5, (20, 2)):
         (a, b, c), s = interpolation._triangle(gx - px, gy - py, hull)
         assert {int(np.floor(px)) + 6 * int(np.floor(py))} <= {a, b, c} and s.min() >= 0 and max(np.ptp(gx[[a, b, c]]), np.ptp(gy[[a, b, c]])) == 1
+
+
+def test_ripley_counts_points_of_one_place_and_not_an_id_with_itself(spark):
+    r = np.random.default_rng(8)
+    rows = [(int(i), float(x), float(y)) for i, (x, y) in zip(r.integers(0, 70, 90), r.integers(0, 12, (90, 2)))]
+    got = [row.k for row in statistics.ripley_k(spark.createDataFrame(rows, "id long, x double, y double")).collect()]
+    (x0, y0), (x1, y1) = ([f(v[c] for v in rows) for c in (1, 2)] for f in (min, max))
+    step, n = max(x1 - x0, y1 - y0) * 0.25 / 10, len(rows)
+    d = [np.hypot(a[1] - b[1], a[2] - b[2]) for a in rows for b in rows if a[0] != b[0]]
+    assert got == pytest.approx([np.sqrt((x1 - x0) * (y1 - y0) * sum(np.floor(v / step) < i for v in d) / (np.pi * n * (n - 1))) for i in range(1, 11)])
+
+
+def test_ripley_joins_no_pairs(spark, monkeypatch):
+    """The only join is that of ids that occur twice."""
+    seen, join = [], statistics.distance_join
+    monkeypatch.setattr(statistics, "distance_join", lambda a, b, d: (seen.append(a.count()), join(a, b, d))[1])
+    statistics.ripley_k(spark.range(50).selectExpr("id", "cast(id % 7 as double) as x", "cast(id % 5 as double) as y")).collect()
+    assert sum(seen) == 0

@@ -135,11 +135,8 @@ def _dist(a: str = "a", b: str = "b") -> Column:
     return F.sqrt(dx * dx + dy * dy)
 
 
-def distance_join(a: DataFrame, b: DataFrame, d: float, limit: str = "less_than") -> DataFrame:
-    """(structs a and b, dist) of points nearer than d; ``less_equal`` takes d itself as well.
-
-    Each point of b is sent to the nine cells around it, of width d.
-    """
+def _near(a: DataFrame, b: DataFrame, d: float, limit: str) -> DataFrame:
+    """(structs a and b, dist) of rows nearer than d; each row of b is sent to the nine cells around it, of width d."""
     cell = float(d) or 1.0
     left = a.select(F.floor(F.col("x") / cell).alias("gx"), F.floor(F.col("y") / cell).alias("gy"), F.struct(*a.columns).alias("a"))
     near = F.explode(F.sequence(F.lit(-1), F.lit(1)))
@@ -149,8 +146,35 @@ def distance_join(a: DataFrame, b: DataFrame, d: float, limit: str = "less_than"
     return got.where(F.col("dist") <= d if limit == "less_equal" else F.col("dist") < d)
 
 
-def distance_join_grouped(a: DataFrame, b: DataFrame, d: float, limit: str = "less_than", key: str = "id") -> DataFrame:
-    return distance_join(a, b, d, limit).groupBy(F.col(f"a.{key}").alias(key)).agg(F.sort_array(F.collect_list(f"b.{key}")).alias("matched"))
+def _at_places(df: DataFrame, what: Column) -> DataFrame:
+    """(x, y, rows): of each place, a list of its rows."""
+    return df.where("x is not null and y is not null").groupBy("x", "y").agg(F.collect_list(what).alias("rows"))
+
+
+def distance_join(a: DataFrame, b: DataFrame, d: float, limit: str = "less_than", places: int | None = None) -> DataFrame:
+    """(structs a and b, dist) of points nearer than d; ``less_equal`` takes d itself as well.
+
+    Places are joined, and their points listed after that. ``places`` rounds the distances, once for all points of two places.
+    """
+    got = _near(_at_places(a, F.struct(*a.columns)), _at_places(b, F.struct(*b.columns)), d, limit)
+    dist = F.col("dist") if places is None else F.round("dist", places).alias("dist")
+    return got.select(dist, "b", F.explode("a.rows").alias("__a")).select(F.col("__a").alias("a"), F.explode("b.rows").alias("b"), "dist")
+
+
+def distance_join_grouped(a: DataFrame, b: DataFrame, d: float, limit: str = "less_than", key: str = "id", text: str | None = None) -> DataFrame:
+    """(key, matched): each row of ``a`` that has matches, with the keys of its matches in order, as one string between which ``text`` stands if given.
+
+    A place's list is made once and given to all of its rows."""
+    keys = a.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
+    again = a.join(keys, key, "left_semi")  # rows that share a key share a list of all of them
+    once = a.join(keys, key, "left_anti")
+    done = (lambda c: c) if text is None else (lambda c: F.array_join(c, text))
+    at = _at_places(once, F.col(key))
+    pairs = _near(at.select("x", "y"), _at_places(b, F.col(key)), d, limit)
+    lists = pairs.groupBy("a.x", "a.y").agg(F.sort_array(F.flatten(F.collect_list("b.rows"))).alias("matched")).where(F.size("matched") > 0)
+    got = at.join(lists.select("x", "y", done(F.col("matched")).alias("matched")), ["x", "y"]).select(F.explode("rows").alias(key), "matched")
+    rest = distance_join(again.select(key, "x", "y"), b, d, limit).groupBy(F.col(f"a.{key}").alias(key)).agg(done(F.sort_array(F.collect_list(f"b.{key}"))).alias("matched"))
+    return got.unionByName(rest)
 
 
 def nearest_to(points: DataFrame, x: float, y: float, k: int) -> DataFrame:

@@ -89,8 +89,8 @@ add("geo_range_count", lambda s, d: spatial.query(pts(s, d).withColumn("geom", G
 add("geo_filter_semi", lambda s, d: pts(s, d).join(_pairs(s, d).where("b.id < 5").select("p.id"), "id", "left_semi").select("id"), f"SELECT p.id FROM {_IN} WHERE b.id < 5")
 add("geo_erase_anti", lambda s, d: pts(s, d).join(_pairs(s, d).where("b.id < 5").select("p.id"), "id", "left_anti").select("id"), f"SELECT id FROM pts WHERE id NOT IN (SELECT p.id FROM {_IN} WHERE b.id < 5)")
 _D = "sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y))"
-add("geo_distance_join", lambda s, d: rounded(spatial.distance_join(pts(s, d), qp(s, d), 10.0).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), "dist"), "dist"), f"SELECT p.id AS a, q.id AS b, round({_D}, 6) AS dist FROM pts p JOIN qp q ON {_D} < 10")
-add("geo_distance_join_grouped", lambda s, d: spatial.distance_join_grouped(pts(s, d), qp(s, d), 10.0, "less_equal").select("id", F.array_join("matched", ",").alias("matched")), f"SELECT p.id, string_agg(q.id, ',' ORDER BY q.id) AS matched FROM pts p JOIN qp q ON {_D} <= 10 GROUP BY 1")
+add("geo_distance_join", lambda s, d: spatial.distance_join(pts(s, d).select("id", "x", "y"), qp(s, d), 10.0, places=6).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), "dist"), f"SELECT p.id AS a, q.id AS b, round({_D}, 6) AS dist FROM pts p JOIN qp q ON {_D} < 10")
+add("geo_distance_join_grouped", lambda s, d: spatial.distance_join_grouped(pts(s, d).select("id", "x", "y"), qp(s, d), 10.0, "less_equal", text=","), f"SELECT p.id, string_agg(q.id, ',' ORDER BY q.id) AS matched FROM pts p JOIN qp q ON {_D} <= 10 GROUP BY 1")
 add("geo_knn", lambda s, d: rounded(spatial.knn(qp(s, d), pts(s, d), 3), "dist"), f"SELECT qid, id, round(dist, 6) AS dist, rank FROM (SELECT q.id AS qid, p.id, {_D} AS dist, (row_number() OVER (PARTITION BY q.id ORDER BY {_D}, p.id))::INT AS rank FROM qp q, pts p) WHERE rank <= 3")
 add("geo_nearest_to", lambda s, d: rounded(spatial.nearest_to(pts(s, d), 10.0, 20.0, 5).select("id", "dist"), "dist"), "SELECT id, round(sqrt((x - 10) * (x - 10) + (y - 20) * (y - 20)), 6) AS dist FROM pts ORDER BY sqrt((x - 10) * (x - 10) + (y - 20) * (y - 20)), id LIMIT 5")
 

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from terralith.operators import interpolation, statistics
+from terralith.operators import interpolation, spatial, statistics
 
 from .test_models import kriged
 
@@ -93,3 +93,20 @@ def test_ripley_joins_no_pairs(spark, monkeypatch):
     monkeypatch.setattr(statistics, "distance_join", lambda a, b, d: (seen.append(a.count()), join(a, b, d))[1])
     statistics.ripley_k(spark.range(50).selectExpr("id", "cast(id % 7 as double) as x", "cast(id % 5 as double) as y")).collect()
     assert sum(seen) == 0
+
+
+def _crowd(spark, n, m):
+    """n points of m places each."""
+    return spark.range(n).selectExpr("id", f"cast(id % {m} % 9 as double) as x", f"cast(id % {m} div 9 as double) as y")
+
+
+def test_distance_joins_of_points_of_one_place(spark):
+    a, b = _crowd(spark, 90, 40), _crowd(spark, 150, 60)
+    p, q = ([(r.id, r.x, r.y) for r in t.collect()] for t in (a, b))
+    want = {(i, j): round(float(np.hypot(x - u, y - v)), 6) for i, x, y in p for j, u, v in q if np.hypot(x - u, y - v) < 2}
+    got = [(r.a.id, r.b.id, r.dist) for r in spatial.distance_join(a, b, 2.0, places=6).collect()]
+    assert len(got) == len(want) and {g[:2]: g[2] for g in got} == want
+    lists = {i: ",".join(map(str, sorted(j for k, j in want if k == i))) for i, _ in want}
+    assert {r.id: r.matched for r in spatial.distance_join_grouped(a, b, 2.0, text=",").collect()} == lists
+    twice = {r.g: r.matched for r in spatial.distance_join_grouped(a.selectExpr("id % 50 as g", "x", "y"), b.withColumnRenamed("id", "g"), 2.0, key="g").collect()}
+    assert twice == {g: sorted(j for i, j in want if i % 50 == g) for g in {i % 50 for i, _ in want}}

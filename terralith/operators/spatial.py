@@ -187,31 +187,41 @@ def knn(queries: DataFrame, points: DataFrame, k: int, exclude_same: bool = Fals
     """(qid, id, dist, rank): the k nearest points of every query, ties by id; exact.
 
     A distance join with a radius r finds all points within r; a query with k of them is
-    done. The others go on with twice the radius, until it spans everything.
+    done. The others go on with twice the radius, until it spans everything. Places are
+    searched for, once for all queries of a place, and of the points of one place only
+    those of the least ids, which are all that can be among the k.
     """
-    q, p = queries.select("id", "x", "y"), points.select("id", "x", "y")
+    q, p = queries.select("id", "x", "y"), points.select("id", "x", "y").dropna(subset=["x", "y"])
+    n = p.select("x", "y").distinct().count()
     ends = p.unionByName(q).agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
-    n = p.count()
     if not n or ends[0] is None:
         return q.limit(0).select(F.col("id").alias("qid"), "id", F.lit(0.0).alias("dist"), F.lit(1).alias("rank"))
+    m = k + exclude_same  # a query's own id takes one place
+    least = F.row_number().over(Window.partitionBy("x", "y").orderBy("id"))
+    p = checkpointed(p.withColumn("__n", least).where(F.col("__n") <= m).drop("__n"))
+    left = checkpointed(q.select("x", "y").dropna().distinct().select(F.struct("x", "y").alias("id"), "x", "y"))
     w, h = max(ends[1] - ends[0], 1e-9), max(ends[3] - ends[2], 1e-9)
     whole = math.hypot(w, h) * 1.01
-    r = min(whole, math.sqrt(w * h * (k + 1) / n / math.pi) * 1.5 or whole)
-    order = Window.partitionBy("qid").orderBy("dist", "id")
-    left, out = q, None
+    r = min(whole, math.sqrt(w * h * (m + 1) / n / math.pi) * 1.5 or whole)
+    order, out = Window.partitionBy("qid").orderBy("dist", "id"), None
     while True:
-        hit = distance_join(left, p, r, "less_equal").select(F.col("a.id").alias("qid"), F.col("b.id").alias("id"), "dist")
-        hit = hit.where("qid != id") if exclude_same else hit
-        ranked = checkpointed(hit.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
+        hit = _near(left, p, r, "less_equal").select(F.col("a.id").alias("qid"), F.col("b.id").alias("id"), "dist")
+        ranked = checkpointed(hit.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= m))
         if r >= whole:
-            return ranked if out is None else out.unionByName(ranked)
-        full = ranked.groupBy("qid").agg(F.max("rank").alias("n")).where(F.col("n") == k).select("qid")
+            out = ranked if out is None else out.unionByName(ranked)
+            break
+        full = ranked.groupBy("qid").agg(F.max("rank").alias("n")).where(F.col("n") == m).select("qid")
         done = ranked.join(full, "qid", "left_semi")
         out = done if out is None else out.unionByName(done)
         left = checkpointed(left.join(full, left["id"] == full["qid"], "left_anti"))
         if left.isEmpty():
-            return out
+            break
         r = min(whole, 2 * r)
+    lists = out.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "id", "dist"))).alias("near")).select("qid.x", "qid.y", "near")
+    got = q.withColumnRenamed("id", "qid").join(lists, ["x", "y"])
+    near = F.filter("near", lambda s: s["id"] != F.col("qid")) if exclude_same else F.col("near")
+    got = got.select("qid", F.posexplode(F.slice(near, 1, k)).alias("i", "s"))
+    return got.select("qid", "s.id", "s.dist", (F.col("i") + 1).cast("int").alias("rank"))
 
 
 def dbscan(points: DataFrame, eps: float, least: int) -> DataFrame:

@@ -110,3 +110,16 @@ def test_distance_joins_of_points_of_one_place(spark):
     assert {r.id: r.matched for r in spatial.distance_join_grouped(a, b, 2.0, text=",").collect()} == lists
     twice = {r.g: r.matched for r in spatial.distance_join_grouped(a.selectExpr("id % 50 as g", "x", "y"), b.withColumnRenamed("id", "g"), 2.0, key="g").collect()}
     assert twice == {g: sorted(j for i, j in want if i % 50 == g) for g in {i % 50 for i, _ in want}}
+
+
+def test_nearest_of_crowded_places(spark, monkeypatch):
+    """Of a place only as many points are joined as can be among the nearest."""
+    rows, near = [], spatial._near
+    monkeypatch.setattr(spatial, "_near", lambda a, b, d, limit: (rows.append((a.count(), b.count())), near(a, b, d, limit))[1])
+    p = _crowd(spark, 400, 40)
+    got = {}
+    for r in spatial.knn(p, p, 3, exclude_same=True).collect():
+        got.setdefault(r.qid, []).append((r["rank"], r.dist, r.id))
+    at = [(r.id, r.x, r.y) for r in p.collect()]
+    assert {i: sorted(g) for i, g in got.items()} == {i: [(n, *s) for n, s in enumerate(sorted((float(np.hypot(x - u, y - v)), j) for j, u, v in at if j != i)[:3], 1)] for i, x, y in at}
+    assert max(a for a, _ in rows) == 40 and max(b for _, b in rows) == 160

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -224,21 +225,84 @@ def knn(queries: DataFrame, points: DataFrame, k: int, exclude_same: bool = Fals
     return got.select("qid", "s.id", "s.dist", (F.col("i") + 1).cast("int").alias("rank"))
 
 
+def _around(cells: DataFrame) -> DataFrame:
+    """Each row for the 25 cells around its cell (gx, gy), as (kx, ky)."""
+    off = F.explode(F.sequence(F.lit(-2), F.lit(2)))
+    return cells.withColumn("o", off).withColumn("kx", F.col("gx") + F.col("o")).withColumn("o", off).withColumn("ky", F.col("gy") + F.col("o")).drop("o")
+
+
+def _reach(x, y, u, v, eps: float, most: int = 2**18):
+    """(rows, matrix of which of (u, v) are within eps) in pieces of the rows (x, y)."""
+    step = max(1, most // max(1, len(u)))
+    for i in range(0, len(x), step):
+        yield slice(i, i + step), (x[i : i + step, None] - u) ** 2 + (y[i : i + step, None] - v) ** 2 <= eps * eps
+
+
 def dbscan(points: DataFrame, eps: float, least: int) -> DataFrame:
     """(id, cluster): the least core id of the cluster, or null for noise.
 
     A core point has ``least`` points within eps, itself among them; a border point joins
-    the cluster of its least core neighbour.
+    the cluster of its least core neighbour. Points of one place go together. Places of one
+    cell, whose diagonal is eps, are all neighbours: a cell of ``least`` points has only
+    cores, and the cores of a cell are linked by their least id. Pairs of places are only
+    looked at until a cell is known to be linked to the next, and are never listed.
     """
     p = points.select("id", "x", "y")
-    near = checkpointed(distance_join(p, p, eps, "less_equal").select(F.col("a.id").alias("a"), F.col("b.id").alias("b")))
-    core = near.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= least).select(F.col("a").alias("id"))
-    links = near.join(core.withColumnRenamed("id", "a"), "a").join(core.withColumnRenamed("id", "b"), "b")
-    comp = connected(links)
-    cores = core.join(comp, "id", "left").select("id", F.coalesce("comp", "id").alias("cluster"))
-    border = near.join(cores.select(F.col("id").alias("b"), "cluster"), "b").groupBy("a").agg(F.min_by("cluster", "b").alias("near"))
-    got = p.select("id").join(cores, "id", "left").join(border.withColumnRenamed("a", "id"), "id", "left")
-    return got.select("id", F.coalesce("cluster", "near").alias("cluster"))
+    kind = p.schema["id"].dataType.simpleString()
+    side = eps / math.sqrt(2) * (1 - 1e-9) or 1e-9
+    at = p.dropna().groupBy("x", "y").agg(F.min("id").alias("id"), F.count("*").alias("n")).withColumn("gx", F.floor(F.col("x") / side)).withColumn("gy", F.floor(F.col("y") / side))
+
+    def parted(t: pa.Table):
+        c = {k: t[k].to_numpy() for k in t.column_names}
+        own = (c["gx"] == c["kx"]) & (c["gy"] == c["ky"])
+        return c, own, {k: v[own] for k, v in c.items()}
+
+    def cores(t: pa.Table) -> pa.Table:
+        c, own, mine = parted(t)
+        core = np.full(len(mine["x"]), mine["n"].sum() >= least)
+        if len(core) and not core[0]:
+            for i, within in _reach(mine["x"], mine["y"], c["x"], c["y"], eps):
+                core[i] = within @ c["n"] >= least
+        return t.select(["x", "y", "id", "gx", "gy"]).filter(pa.array(own)).append_column("core", pa.array(core))
+
+    found = checkpointed(_around(at).groupBy("kx", "ky").applyInArrow(cores, f"x double, y double, id {kind}, gx bigint, gy bigint, core boolean"))
+
+    def links(t: pa.Table) -> pa.Table:
+        """c: a core place and its cell's least core; l: the least cores of two cells within reach; b: a border place and its least core neighbour."""
+        c, own, mine = parted(t)
+        a, b, what = [], [], []
+        is_core = c["core"].astype(bool)
+        if len(mine["x"]):
+            here = mine["core"].astype(bool)
+            x, y = mine["x"][here], mine["y"][here]
+            if here.any():
+                low = mine["id"][here].min()
+                a, b, what = list(mine["id"][here]), [low] * len(x), ["c"] * len(x)
+                for dx, dy in [(dx, dy) for dx in range(3) for dy in range(-2, 3) if (dx, dy) > (0, 0)]:
+                    there = is_core & (c["gx"] - c["kx"] == dx) & (c["gy"] - c["ky"] == dy)
+                    u, v = c["x"][there], c["y"][there]
+                    if len(u):  # only places that may reach the other cell's box
+                        s = np.hypot(np.maximum(0, np.maximum(u.min() - x, x - u.max())), np.maximum(0, np.maximum(v.min() - y, y - v.max()))) <= eps * (1 + 1e-9)
+                        if any(within.any() for _, within in _reach(x[s], y[s], u, v, eps)):
+                            a, b, what = [*a, low], [*b, c["id"][there].min()], [*what, "l"]
+            ids = np.sort(c["id"][is_core])
+            by = np.argsort(c["id"][is_core], kind="stable")
+            u, v = c["x"][is_core][by], c["y"][is_core][by]
+            if len(u) and not here.all():
+                edge = mine["id"][~here]
+                for i, within in _reach(mine["x"][~here], mine["y"][~here], u, v, eps):
+                    hit = within.any(1)
+                    first = ids[within.argmax(1)[hit]]
+                    a, b, what = [*a, *edge[i][hit]], [*b, *first], [*what, *["b"] * len(first)]
+        return pa.table({"what": pa.array(what, pa.string()), "a": pa.array(a, t.schema.field("id").type), "b": pa.array(b, t.schema.field("id").type)})
+
+    got = checkpointed(_around(found).groupBy("kx", "ky").applyInArrow(links, f"what string, a {kind}, b {kind}"))
+    comp = connected(got.where("what = 'l'").select("a", "b"))
+    c = got.where("what = 'c'").join(comp.withColumnRenamed("id", "b"), "b", "left").select(F.col("a").alias("id"), F.coalesce("comp", "b").alias("cluster"))
+    c = checkpointed(c)
+    edge = got.where("what = 'b'").select(F.col("a").alias("own"), F.col("b").alias("id")).join(c, "id").select(F.col("own").alias("id"), "cluster")
+    place = found.select("x", "y", "id").join(c.unionByName(edge), "id").select("x", "y", "cluster")
+    return p.join(place, ["x", "y"], "left").select("id", "cluster")
 
 
 # --- overlay of collections ---

@@ -123,3 +123,18 @@ def test_nearest_of_crowded_places(spark, monkeypatch):
     at = [(r.id, r.x, r.y) for r in p.collect()]
     assert {i: sorted(g) for i, g in got.items()} == {i: [(n, *s) for n, s in enumerate(sorted((float(np.hypot(x - u, y - v)), j) for j, u, v in at if j != i)[:3], 1)] for i, x, y in at}
     assert max(a for a, _ in rows) == 40 and max(b for _, b in rows) == 160
+
+
+def test_dbscan_of_crowds_lists_no_pairs(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "_near", lambda *a: pytest.fail("pairs are joined"))
+    r = np.random.default_rng(4)
+    for eps, least in ((5.0, 3), (9.0, 6), (14.0, 4)):
+        xy = np.repeat(r.integers(0, 100, (70, 2)), r.integers(1, 4, 70), 0).astype(float)
+        near = (xy[:, None, 0] - xy[:, 0]) ** 2 + (xy[:, None, 1] - xy[:, 1]) ** 2 <= eps * eps
+        core = near.sum(1) >= least
+        label = np.where(core, np.arange(len(xy)), len(xy))
+        for _ in range(len(xy)):
+            label = np.where(core, np.where(near & core, label, len(xy)).min(1), label)
+        want = {i: int(label[i]) if core[i] else int(label[np.flatnonzero(near[i] & core)[0]]) if (near[i] & core).any() else None for i in range(len(xy))}
+        df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(xy)], "id long, x double, y double")
+        assert {row.id: row.cluster for row in spatial.dbscan(df, eps, least).collect()} == want

@@ -420,14 +420,39 @@ def land_suitability(land: DataFrame, ecology: DataFrame, urban: DataFrame, slop
 
 
 def voronoi_cells(df: DataFrame, frame: str, parts: int = 16) -> DataFrame:
-    """(x, y, geom): the cell of each distinct point within a WKT frame; ``parts`` tasks, each with all points."""
-    points = df.select("x", "y").dropna().distinct()
-    own = points.withColumn("part", F.pmod(F.xxhash64("x", "y"), F.lit(parts)))
-    every = points.select(F.col("x").alias("px"), F.col("y").alias("py"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("to"))
-
-    def make(mine: pa.Table, all_: pa.Table) -> pa.Table:
-        x, y = (mine[c].to_pylist() if mine.num_rows else [] for c in ("x", "y"))
-        cells = G.voronoi(list(zip(all_["px"].to_pylist(), all_["py"].to_pylist())), G.from_wkt(frame), list(zip(x, y)))
-        return pa.table({"x": pa.array(x, pa.float64()), "y": pa.array(y, pa.float64()), "geom": pa.array([G.to_wkt(c) for c in cells], pa.string())})
-
-    return own.groupBy("part").cogroup(every.groupBy("to")).applyInArrow(make, "x double, y double, geom string")
+    """(x, y, geom): the cell of each distinct point within a WKT frame; ``parts`` tasks, which share the points.
+
+    A cell is cut by the points of the grid cells around its own, of ever more of them until
+    no point beyond can be near enough to cut it."""
+    at = df.select("x", "y").dropna().distinct()
+    t = at.toArrow()
+    x, y = t["x"].to_numpy(), t["y"].to_numpy()
+    if not len(x):
+        return df.sparkSession.createDataFrame([], "x double, y double, geom string")
+    x0, y0 = x.min(), y.min()
+    size = max(math.sqrt(max(np.ptp(x), 1e-9) * max(np.ptp(y), 1e-9) / len(x)) * 2, max(np.ptp(x), np.ptp(y)) / 4096) or 1.0
+    gx, gy = np.floor((x - x0) / size).astype(int), np.floor((y - y0) / size).astype(int)
+    wide, high = gx.max() + 1, gy.max() + 1
+    order = np.lexsort((gy, gx))
+    shared = df.sparkSession.sparkContext.broadcast((x[order], y[order], (gx * high + gy)[order]))
+    area = G.from_wkt(frame)
+
+    def run(batches):
+        x, y, cell = shared.value
+        for b in batches:
+            cells = []
+            for p in zip(b["x"].to_pylist(), b["y"].to_pylist()):
+                i, j, r = int((p[0] - x0) // size), int((p[1] - y0) // size), 1
+                while True:
+                    columns = np.arange(max(0, i - r), min(wide, i + r + 1))
+                    lo, hi = np.searchsorted(cell, columns * high + max(0, j - r)), np.searchsorted(cell, columns * high + min(high - 1, j + r), "right")
+                    k = np.concatenate([np.arange(u, v) for u, v in zip(lo, hi)])
+                    got = G.voronoi([p, *zip(x[k].tolist(), y[k].tolist())], area, [p])[0]
+                    far = max((math.dist(p, c) for c in G.coordinates(got)), default=0.0)
+                    if 2 * far < r * size * (1 - 1e-9) or r > max(wide, high):
+                        break
+                    r *= 2
+                cells.append(G.to_wkt(got))
+            yield pa.RecordBatch.from_arrays([b["x"], b["y"], pa.array(cells, pa.string())], ["x", "y", "geom"])
+
+    return at.repartition(parts, "x", "y").mapInArrow(run, "x double, y double, geom string")

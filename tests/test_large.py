@@ -138,3 +138,12 @@ def test_dbscan_of_crowds_lists_no_pairs(spark, monkeypatch):
         want = {i: int(label[i]) if core[i] else int(label[np.flatnonzero(near[i] & core)[0]]) if (near[i] & core).any() else None for i in range(len(xy))}
         df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(xy)], "id long, x double, y double")
         assert {row.id: row.cluster for row in spatial.dbscan(df, eps, least).collect()} == want
+
+
+def test_voronoi_cells_take_the_points_around(spark, monkeypatch):
+    from terralith.functions import geometry as G
+
+    at = [tuple(map(float, p)) for p in np.random.default_rng(9).uniform(0, 100, (400, 2))] + [(900.0, 900.0)]
+    df = spark.createDataFrame(at, "x double, y double")
+    got = {(r.x, r.y): G.area(G.from_wkt(r.geom)) for r in spatial.voronoi_cells(df, G.to_wkt(G.box(-10, -10, 1000, 1000))).collect()}
+    assert got == {p: pytest.approx(G.area(c), abs=1e-6) for p, c in zip(at, G.voronoi(at, G.box(-10, -10, 1000, 1000)))}
